@@ -7,10 +7,12 @@ The rules are the published ones for rule-based valence scoring (Hutto and Gilbe
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skilldemand.functions.lookup import MAX_INLINE_ROWS, InlineTable, literal
+from skilldemand.functions.lookup import MAX_INLINE_ROWS, InlineTable
 from skilldemand.functions.numbers import round_exact
 from skilldemand.functions.text import WHITESPACE, let, urgency
 
@@ -86,12 +88,8 @@ def compound(
 def words_of(text: Column) -> Column:
     """Words of two or more characters, punctuation trimmed where two or more remain."""
     raw = F.regexp_extract_all(text, F.lit(r"(?U)\S{2,}"), F.lit(0))
-    return F.transform(
-        raw,
-        lambda w: let(
-            F.trim(w, F.lit(_PUNCTUATION)), lambda bare: F.when(F.length(bare) > 1, bare).otherwise(w)
-        ),
-    )
+    bare = lambda w: F.trim(w, F.lit(_PUNCTUATION))
+    return F.transform(raw, lambda w: F.when(F.length(bare(w)) > 1, bare(w)).otherwise(w))
 
 
 def with_sentiment(
@@ -105,33 +103,35 @@ def with_sentiment(
     """Add a struct of unrounded compound, positive, negative and neutral scores."""
     table = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double"))
     words = F.coalesce(words_of(F.col(text_col)), F.array().cast("array<string>"))
-    lowered = F.transform(words, F.lower)
     inline = InlineTable(table, "word", max_inline)
     if inline.fits:
-        hits = inline.find(F.array_distinct(lowered))
-        staged = df.withColumn("_s", F.struct(words.alias("words"), hits.alias("hits")))
-        found = staged.withColumns({"_words": F.col("_s.words"), "_hits": F.col("_s.hits")}).drop("_s")
+        found, hits = df, lambda lower: inline.find(F.array_distinct(lower))
     else:
         by_word = (
-            df.select(id_col, F.explode(F.array_distinct(lowered)).alias("word"))
+            df.select(id_col, F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word"))
             .join(table, "word")
             .groupBy(id_col)
             .agg(F.collect_list(F.struct("word", "valence")).alias("_hits"))
         )
-        found = df.join(by_word, id_col, "left").withColumn("_words", words)
+        found = df.join(by_word, id_col, "left")
+        hits = lambda lower: F.coalesce("_hits", F.array().cast(_HITS))
     text = F.col(text_col)
     blank = ~F.coalesce(text.rlike(f"[^{WHITESPACE}]"), F.lit(False))
-    scores = let(
-        F.struct(
-            F.col("_words").alias("words"),
-            F.transform(F.col("_words"), F.lower).alias("lower"),
-            F.coalesce(F.col("_hits"), F.array().cast(_HITS)).alias("hits"),
+
+    def with_hits(d: Column) -> Column:
+        return F.struct(
+            d["words"].alias("words"),
+            d["lower"].alias("lower"),
+            hits(d["lower"]).alias("hits"),
             _emphasis(text).alias("emphasis"),
-        ),
-        _scores,
+        )
+
+    doc = let(
+        words, lambda w: let(F.struct(w.alias("words"), F.transform(w, F.lower).alias("lower")), with_hits)
     )
     nothing = _result(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    return found.withColumn(out, F.when(blank, nothing).otherwise(scores)).drop("_words", "_hits")
+    scored = found.withColumn(out, F.when(blank, nothing).otherwise(let(doc, _scores)))
+    return scored if inline.fits else scored.drop("_hits")
 
 
 def _result(compound: Column, positive: Column, negative: Column, neutral: Column) -> Column:
@@ -164,13 +164,11 @@ def _scores(doc: Column) -> Column:
 def _context(doc: Column) -> Column:
     """What the rules need to know about a text besides the words."""
     words, lower = doc["words"], doc["lower"]
-    capitals = F.size(F.filter(words, _shouted))
     return F.struct(
         words.alias("words"),
         lower.alias("lower"),
         doc["hits"].alias("hits"),
         F.transform(doc["hits"], lambda h: h["word"]).alias("known"),
-        ((capitals > 0) & (capitals < F.size(words))).alias("mixed_caps"),
         (F.array_position(lower, "but") - 1).alias("but"),
     )
 
@@ -179,11 +177,17 @@ def _shouted(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
+def _stands_out(c: Column, i: Column) -> Column:
+    """A word in capitals in a text that is not all in capitals."""
+    return _shouted(F.get(c["words"], i)) & F.exists(c["words"], lambda w: ~_shouted(w))
+
+
 def _valences(c: Column) -> Column:
     """Valence of every lexicon word in place; other words count as zero and are left out."""
+    found = F.transform(c["lower"], lambda w, i: F.when(F.array_contains(c["known"], w), i))
     positions = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(c["lower"]) - 1, F.lit(0))),
-        lambda i: F.array_contains(c["known"], F.get(c["lower"], i))
+        found,
+        lambda i: i.isNotNull()
         & (_booster(F.get(c["lower"], i)) == 0.0)
         & ~((F.get(c["lower"], i) == "kind") & _is(F.get(c["lower"], i + 1), "of")),
     )
@@ -191,10 +195,10 @@ def _valences(c: Column) -> Column:
     def one(i: Column) -> Column:
         own = F.get(F.filter(c["hits"], lambda h: h["word"] == F.get(c["lower"], i)), F.lit(0))["valence"]
         loud = F.when(own > 0, own + CAPS).otherwise(own - CAPS)
-        start = F.when(c["mixed_caps"] & _shouted(F.get(c["words"], i)), loud).otherwise(own)
+        start = F.when(_stands_out(c, i), loud).otherwise(own)
         modified = start
         for distance in (1, 2, 3):
-            modified = let(modified, lambda v, d=distance: _modify(c, i, d, v))
+            modified = let(modified, partial(_modify, c, i, distance))
         least = let(modified, lambda v: F.when(_least(c, i), v * NEGATE).otherwise(v))
         weight = (
             F.when(c["but"] < 0, 1.0)
@@ -213,7 +217,7 @@ def _modify(c: Column, i: Column, distance: int, valence: Column) -> Column:
     boost = _booster(near)
     signed = F.when(valence < 0, -boost).otherwise(boost)
     loud = F.when(
-        (boost != 0) & c["mixed_caps"] & _shouted(F.get(c["words"], i - distance)),
+        (boost != 0) & _stands_out(c, i - distance),
         F.when(valence > 0, CAPS).otherwise(-CAPS),
     ).otherwise(0.0)
     boosted = valence + (signed + loud) * DAMPING[distance]
@@ -244,15 +248,11 @@ def _is(word: Column, *values: str) -> Column:
 
 
 def _booster(word: Column) -> Column:
-    strong = literal(STRENGTHEN, "array<string>")
-    weak = literal(WEAKEN, "array<string>")
-    return (
-        F.when(F.array_contains(strong, word), BOOST).when(F.array_contains(weak, word), -BOOST).otherwise(0.0)
-    )
+    return F.when(word.isin(STRENGTHEN), BOOST).when(word.isin(WEAKEN), -BOOST).otherwise(0.0)
 
 
 def _negated(word: Column) -> Column:
-    return F.array_contains(literal(NEGATIONS, "array<string>"), word) | word.contains("n't")
+    return word.isin(NEGATIONS) | word.contains("n't")
 
 
 def _summary(s: Column) -> Column:
