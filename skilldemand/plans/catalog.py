@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skilldemand.plans import basket_queries, text_queries
+from skilldemand.plans import basket_queries, source_queries, text_queries
 
-MODULES = [basket_queries, text_queries]
+MODULES = [basket_queries, text_queries, source_queries]
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,11 @@ def build_session(app: str = "skilldemand", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="skilldemand-")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, the folder all executors share.
 
@@ -34,6 +40,5 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="skilldemand-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_scratch()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
