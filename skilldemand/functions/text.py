@@ -13,7 +13,7 @@ from functools import reduce
 from operator import add, or_
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_once(df: DataFrame, array: Column | str, out: str, *keep: str) -> DataFrame:
+    """One row per element of a costly array.
+
+    A plain explode makes the optimiser filter empty arrays first, which computes the
+    array twice; the outer one with its empty rows dropped afterwards does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(out)).where(F.col(out).isNotNull())
+
+
 def fold(col: Column) -> Column:
     """Lower case, with the four letters that match ASCII letters case-insensitively."""
     special = reduce(or_, [col.contains(letter) for letter in "ſKıİ"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skilldemand.functions.lookup import literal
+from skilldemand.functions.text import explode_once
 
 # The tracked roles in their order, and the title words that stand for them.
 ROLES = [
@@ -69,11 +70,8 @@ def tag_roles(
         ),
         lambda role: role["role"],
     )
-    return (
-        feed.withColumn("_haystack", haystack)
-        .withColumn("role_category", F.explode(matching))
-        .drop("_haystack")
-    )
+    searched = feed.withColumn("_haystack", haystack)
+    return explode_once(searched, matching, "role_category", *feed.columns)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

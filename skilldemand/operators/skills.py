@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skilldemand.functions.lookup import MAX_INLINE_ROWS, InlineTable
-from skilldemand.functions.text import let, strip
+from skilldemand.functions.text import explode_once, let, strip
 from skilldemand.operators.matching import match_terms
 
 # Determiners cut from the front of a phrase.
@@ -41,7 +41,7 @@ def match_vocab(
     found = match_terms(
         postings.select(id_col, text_col), vocab_terms(vocab), text_col, id_col, max_inline=max_inline
     )
-    return found.select(id_col, F.explode("matches").alias("m")).select(
+    return explode_once(found, "matches", "m", id_col).select(
         id_col, F.col("m.term").alias("skill"), F.col("m.n").alias("n")
     )
 
@@ -55,7 +55,7 @@ def match_chunks(
 ) -> DataFrame:
     """(posting, skill, n=1) for each skill that equals one of the posting's phrases."""
     found = _with_chunk_matches(postings.select(id_col, chunks_col), vocab, chunks_col, id_col, max_inline)
-    return found.select(id_col, F.explode("_chunk_matches").alias("m")).select(
+    return explode_once(found, "_chunk_matches", "m", id_col).select(
         id_col, F.col("m.term").alias("skill"), F.lit(1).cast("bigint").alias("n")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilldemand.operators.weekly import build_trends
-from skilldemand.session import scratch_dir
+from skilldemand.session import scratch_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,12 +116,17 @@ EVENT_ROLES = [f"r{i}" for i in range(10)]
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings over nine weeks."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("posting_id"),
-        F.col("source"),
-        F.col("lang").alias("role_category"),
-        F.col("text").alias("raw_text"),
-        F.timestamp_add("DAY", (F.col("doc_id") % 63).cast("int"), F.expr("timestamp_ntz'2024-01-01'")).alias(
-            "scraped_at"
-        ),
+    day = (F.col("doc_id") % 63).cast("int")
+    return spread(
+        table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("posting_id"),
+            F.col("source"),
+            F.col("lang").alias("role_category"),
+            F.col("text").alias("raw_text"),
+            F.timestamp_add("DAY", day, F.expr("timestamp_ntz'2024-01-01'")).alias("scraped_at"),
+        )
     )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))

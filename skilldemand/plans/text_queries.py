@@ -218,7 +218,7 @@ PAGE_TEXT = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>"
 def b1(spark, sf):
     text = X.strip_html(F.col("html"))
     squeezed = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return A.table(spark, sf, "pages").select("page_id", squeezed.alias("t")).select("page_id", *_digest_of(F.col("t")))
+    return A.pages(spark, sf).select("page_id", squeezed.alias("t")).select("page_id", *_digest_of(F.col("t")))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skilldemand.functions.dates import epoch_utc, iso_utc
-from skilldemand.functions.text import strip, strip_html
+from skilldemand.functions.text import explode_once, strip, strip_html
 
 # Source names and the address that stands in for a missing one.
 FLAT_SOURCE = "remoteok"
@@ -28,7 +28,7 @@ def parse_flat_feed(
     here, so each entry is read as a map first.
     """
     entries = F.from_json(payload_col, "array<map<string, string>>")
-    job = raw.select(F.explode(entries).alias("job")).where(
+    job = explode_once(raw, entries, "job").where(
         F.map_contains_key("job", F.lit("position"))
     )
     get = F.col("job").getItem
@@ -61,7 +61,7 @@ def parse_nested_feed(
 ) -> DataFrame:
     """Results of API pages (role_category, payload); those without title or address are dropped."""
     results = F.from_json(payload_col, _NESTED)["results"]
-    r = raw.select("role_category", F.explode(results).alias("r")).select("role_category", "r.*")
+    r = explode_once(raw, results, "r", "role_category").select("role_category", "r.*")
 
     def text(name: str) -> Column:
         return strip(F.coalesce(F.col(name), F.lit("")))
