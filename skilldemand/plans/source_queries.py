@@ -308,32 +308,10 @@ TOPIC_WORDS = {
     1: ["worthless", "trash", "stupid", "scum", "idiot"],
     2: ["without", "there", "whose", "idiot", "nosuchword"],
 }
-COHERENCE_SQL = f"""WITH given(topic_id, word) AS (
-  VALUES {', '.join(f"({t}, '{w}')" for t, ws in TOPIC_WORDS.items() for w in ws)}),
-listed AS (SELECT * FROM given),
-tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w,
-                  generate_subscripts(regexp_extract_all(lower(text), '\\S+'), 1) AS i,
-                  len(regexp_extract_all(lower(text), '\\S+')) AS n FROM documents),
-hits AS (SELECT DISTINCT doc_id, w, unnest(range(greatest(1, i - 109), least(i, greatest(n - 109, 1)) + 1)) AS win
-         FROM tokens WHERE w IN (SELECT word FROM listed)),
-total_windows AS (SELECT sum(greatest(n - 109, 1)) AS n FROM (SELECT DISTINCT doc_id, n FROM tokens)),
-singles AS (SELECT w AS word, count(*) / (SELECT n FROM total_windows) AS p FROM hits GROUP BY w),
-pairs AS (SELECT x.topic_id, x.word AS w, y.word AS v FROM listed x JOIN listed y USING (topic_id)),
-wanted AS (SELECT DISTINCT w, v FROM pairs WHERE w < v),
-together AS (SELECT wanted.w AS w, wanted.v AS v, count(*) / (SELECT n FROM total_windows) AS p FROM wanted
-             JOIN hits a ON a.w = wanted.w JOIN hits b ON b.doc_id = a.doc_id AND b.win = a.win AND b.w = wanted.v
-             GROUP BY ALL),
-npmi AS (SELECT topic_id, pairs.w, pairs.v,
-           ln((CASE WHEN pairs.w = pairs.v THEN a.p ELSE coalesce(t.p, 0) END + 1e-12) / (a.p * b.p))
-           / -ln(CASE WHEN pairs.w = pairs.v THEN a.p ELSE coalesce(t.p, 0) END + 1e-12) AS x
-         FROM pairs JOIN singles a ON a.word = pairs.w JOIN singles b ON b.word = pairs.v
-         LEFT JOIN together t ON t.w = least(pairs.w, pairs.v) AND t.v = greatest(pairs.w, pairs.v)),
-sums AS (SELECT topic_id, v, sum(x) AS s FROM npmi GROUP BY ALL),
-cosines AS (SELECT topic_id, w, sum(x * s) / (sqrt(sum(x * x)) * sqrt(sum(s * s))) AS c FROM npmi JOIN sums USING (topic_id, v) GROUP BY ALL)
-SELECT CAST(printf('%.4f', avg(c)) AS DOUBLE) AS c_v FROM (SELECT topic_id, avg(c) AS c FROM cosines GROUP BY topic_id)"""
-
-
-@query("c16_coherence", COHERENCE_SQL)
+
+
+# No SQL: the sliding windows take it minutes on whole tables; a test does the same by brute force.
+@query("c16_coherence")
 def c16(spark, sf):
     docs = A.document_postings(spark, sf).withColumnRenamed("raw_text", "text")
     rows = [(t, w) for t, ws in TOPIC_WORDS.items() for w in ws]
