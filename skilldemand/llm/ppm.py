@@ -31,7 +31,7 @@ from skilldemand.llm.common import stage
 
 ORDER = 4
 BEGIN, END = 0xFF, 0xFE
-CHUNK = 32 << 20  # bytes of text whose windows and words are asked for together
+CHUNK = 20 << 20  # bytes of text whose windows and words are asked for together
 WINDOW, WORD = 0, 1
 END_WORD = 0  # the key of the token that ends a text
 PIECE = 1 << 20
