@@ -17,11 +17,32 @@ from pyspark.sql import functions as F
 from skilldemand.llm import hashing as H
 
 SAMPLE = 8_000  # confirmed rows, and unlabelled ones, that are fitted on at most
-FEATURES = 1_024  # words the score may use
-LEAST_Z = 6.0  # how far a word's share among positives must stand out
+FEATURES = 256  # words and beginnings of words that the score may use
+LEAST_Z = 8.0  # how far a word's share among positives must stand out
+BEGINNINGS = (4, 6)  # bytes of a word that are a feature of their own, for inflected words
 LEAST_ROWS = 3
 
 
+def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word and of every beginning of a longer word."""
+    words, rows, starts = H.tokens(data, offsets, H.LETTERS)
+    mapped = H.LETTERS[data]
+    codes, owners = [words], [rows]
+    for size in BEGINNINGS:
+        fits = starts + size < len(mapped)
+        at, row = starts[fits], rows[fits]
+        longer = at + size < offsets[row + 1]
+        for i in range(1, size + 1):
+            longer &= mapped[np.minimum(at + i, len(mapped) - 1)] != 32
+        at, row = at[longer], row[longer]
+        code = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            code = (code << np.uint64(8)) | mapped[at + i].astype(np.uint64)
+        codes.append(H.mix(code + np.uint64(size)))
+        owners.append(row)
+    return np.concatenate(codes), np.concatenate(owners)
+
+
 def distinct_words(docs: DataFrame, keep: str) -> DataFrame:
     """``keep`` and ``words``, the hashes of a text's distinct words."""
     kind = dict(docs.dtypes)[keep]
@@ -30,7 +51,7 @@ def distinct_words(docs: DataFrame, keep: str) -> DataFrame:
         for batch in batches:
             for low, data, offsets in H.slices(batch.column(1)):
                 n = len(offsets) - 1
-                code, rows, _ = H.tokens(data, offsets, H.LETTERS)
+                code, rows = features_of(data, offsets)
                 pair, bounds = distinct_per_row(code, rows, n)
                 lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pair.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -102,9 +123,9 @@ def nn_pu_scores(
 
     ``labels`` has ``doc_id`` and ``toxic``; only its rows with 1 are confirmed. The model
     is fitted on at most ``sample`` confirmed and ``sample`` other documents, over at most
-    ``features`` words, those that stand out most among the confirmed. ``prior`` is the
+    ``features`` words and beginnings of words, those that stand out most among the confirmed. ``prior`` is the
     share of toxic texts among the others; by default that among the rows of ``labels``
-    with a value. Features are the presence of words. Null texts count as empty; null
+    with a value. Features are presences. Null texts count as empty; null
     ids are scored but not learnt from; ids labelled twice are confirmed if any label is.
     Without confirmed rows all scores equal the prior, 0.01 if nothing is labelled.
     """
@@ -161,7 +182,7 @@ def apply_scores(docs: DataFrame, words: np.ndarray, weights: np.ndarray, bias:
         for batch in batches:
             for low, data, offsets in H.slices(batch.column(1)):
                 n = len(offsets) - 1
-                code, rows, _ = H.tokens(data, offsets, H.LETTERS)
+                code, rows = features_of(data, offsets)
                 hit = lookup.at(code) >= 0
                 pair, bounds = distinct_per_row(code[hit], rows[hit], n)
                 row = np.repeat(np.arange(n), np.diff(bounds))
