@@ -7,7 +7,7 @@ The order puts the shingles that most documents have last.
 
 Documents that meet on a shingle form a bucket. First every document of a bucket is held
 against the bucket's smallest id alone, which joins most copies and grows with the rows of
-the bucket. Then the buckets that still hold more than one component are cut into tiles
+the bucket; a bitmap of each set bounds the overlap before sets are fetched. Then the buckets that still hold more than one component are cut into tiles
 by set size; two tiles meet only if their sizes allow the similarity, a bitmap of each set
 bounds the overlap from above (each bit in which two parity bitmaps differ is an element
 that only one has), and pairs that the bound leaves are checked by intersecting the sorted
@@ -159,6 +159,33 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return joined.mapInArrow(similar, "a long, b long")
 
 
+def apart_at_least(one: bytes, two: bytes) -> int:
+    """Elements that only one of two sets has, at least: bits in which their bitmaps differ."""
+    x, y = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    wide, narrow = max(len(one), len(two)) * 8, min(len(one), len(two)) * 8
+    if len(one) < len(two):
+        x, y = y, x
+    while wide > narrow:
+        wide //= 2
+        x = (x & ((1 << wide) - 1)) ^ (x >> wide)
+    return (x ^ y).bit_count()
+
+
+def within_bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and bitmaps leave open; ``bits`` has doc_id, n and bits."""
+    sides = [bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def open_(batches):
+        for batch in batches:
+            n, m, one, two = (batch.column(i).to_pylist() for i in range(2, 6))
+            most = [(x + y - apart_at_least(p, q)) // 2 for x, y, p, q in zip(n, m, one, two)]
+            keep = [(100 + percent) * k >= percent * (x + y) for k, x, y in zip(most, n, m)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(open_, "a long, b long")
+
+
 def fold_bits(bits: np.ndarray, width: int) -> np.ndarray:
     """Parity bitmaps (rows of bytes) folded to ``width`` bytes."""
     while bits.shape[1] > width:
@@ -280,7 +307,9 @@ def ngram_jaccard_components(
     stars = met.where((F.col("doc_id") != F.col("hub")) & fits).select(
         F.col("hub").alias("a"), F.col("doc_id").alias("b")
     )
-    stars = stage(stars.distinct().join(same, ["a", "b"], "left_anti"), "jaccard-stars")
+    bits = known.where("prefix is not null").select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
+    stars = stars.distinct().join(same, ["a", "b"], "left_anti")
+    stars = stage(within_bound(stars, bits, percent), "jaccard-stars")
     links = stage(verify(stars, docs, width, percent).unionByName(same), "jaccard-links")
     comps = stage(connected_components(links), "jaccard-comps")
 
@@ -292,8 +321,7 @@ def ngram_jaccard_components(
     mixed = mixed.where("lo <> hi").select("s")
     members = labelled.join(mixed, "s", "left_semi").select(F.col("s").alias("bucket"), "doc_id", "n", "comp")
     members = stage(members, "jaccard-members")
-    bits = known.where("prefix is not null").select("doc_id", "bits").dropDuplicates(["doc_id"])
-    rest = stage(open_pairs(members.join(bits, "doc_id"), percent, tile), "jaccard-open")
+    rest = stage(open_pairs(members.join(bits.drop("n"), "doc_id"), percent, tile), "jaccard-open")
     if not rest.isEmpty():
         more = verify(rest, docs, width, percent)
         links = stage(links.unionByName(more), "jaccard-links")
