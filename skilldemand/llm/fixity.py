@@ -117,14 +117,17 @@ def fixity_audit(
     trees = [stage(merkle_nodes(h, height, size, fanout), "fixity-nodes") for h in hashes]
     top = height + 1 + DIGITS
     root = [t.where(F.col("level") == top) for t in trees]
-    differ = differing(*root)
+    differ = stage(differing(*root), "fixity-differ")
     for level in range(top - 1, -1, -1):
+        if differ.isEmpty():
+            break  # below equal nodes there is nothing to find
         below = [t.where(F.col("level") == level).withColumn("up", parent_key(level, height, fanout)) for t in trees]
-        differ = differing(*[b.join(differ.select("id"), F.col("up") == F.col("id"), "left_semi") for b in below])
+        below = [b.join(differ, F.col("up") == F.col("id"), "left_semi") for b in below]
+        differ = stage(differing(*below), "fixity-differ")
     place = F.coalesce(F.floor(F.col("offset") / F.lit(size)), F.lit(-1)).cast("string")
     suspects = [
         h.withColumn("up", node_id(F.lit(0), F.col("file"), place)).join(
-            differ.select("id"), F.col("up") == F.col("id"), "left_semi"
+            differ, F.col("up") == F.col("id"), "left_semi"
         )
         for h in hashes
     ]
