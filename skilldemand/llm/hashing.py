@@ -174,7 +174,7 @@ def window_hashes(tokens: np.ndarray, rows: np.ndarray, mask: str, salt: int) ->
     return code[inside], inside
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, size: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array | pa.ChunkedArray, size: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, bytes and offsets of runs of rows of about ``size`` bytes, one row at least."""
     data, offsets = flat(texts)
     n, low = len(offsets) - 1, 0
