@@ -36,6 +36,7 @@ COMMON = 1 << 16  # shingles that are put last in the order; bounds the broadcas
 SEEN_OFTEN = 8  # a task reports shingles that so many of a slice's documents share
 TILE = 512  # sets in a tile
 MAX_BITS = 1 << 14
+ID_BITS = 1 << 26  # of the table of ids whose sets are needed
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -127,12 +128,30 @@ def describe_sets(docs: DataFrame, width: int, percent: int, common: np.ndarray)
     return docs.select("doc_id", "text").mapInArrow(describe, schema)
 
 
+def id_bits(ids: DataFrame) -> bytes:
+    """A table of ``ID_BITS`` bits, 8 MB whatever the ids: texts without a set bit stay unread.
+
+    It spares the shuffle of all texts; ids that share a bit are told apart by the join.
+    """
+    bit = f"pmod(doc_id, {ID_BITS}L)"
+    words = ids.selectExpr(f"shiftright({bit}, 5) w", f"shiftleft(1L, cast({bit} & 31L as int)) b")
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(ID_BITS >> 5, np.uint32)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.tobytes()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar enough, by intersecting sorted arrays."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
+    packed = id_bits(ids)
 
     def sets(batches):
+        table = np.frombuffer(packed, np.uint8)
         for batch in batches:
+            ids_ = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % ID_BITS
+            named = (table[ids_ >> 3] >> (ids_ & 7).astype(np.uint8)) & 1
+            batch = batch.filter(pa.array(named.astype(bool)))
             for low, bounds, code in shingle_sets(batch.column(1), width):
                 arrays = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), code.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -140,8 +159,8 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                     ["doc_id", "code"],
                 )
 
-    wanted = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    found = stage(wanted.mapInArrow(sets, "doc_id long, code array<long>"), "jaccard-sets")
+    described = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, code array<long>")
+    found = stage(described.join(ids, "doc_id", "left_semi"), "jaccard-sets")
     one = found.select(F.col("doc_id").alias("a"), F.col("code").alias("left"))
     two = found.select(F.col("doc_id").alias("b"), F.col("code").alias("right"))
 
