@@ -56,6 +56,7 @@ def main():
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=str(cpus),
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
+        spark__sql__files__minPartitionNum=str(cpus),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

@@ -103,11 +103,16 @@ def first_per_url(
 ) -> DataFrame:
     """One row per URL: the first by source order, then role order, then ``tiebreak``.
 
+    Rows equal in these are ordered by all their other columns of simple types (nulls
+    first), so the row that stays does not depend on how the input is split.
+
     The ranking is cut to one row per URL before the shuffle as well, so a URL with
     very many copies does not fill one task.
     """
     order = [F.col("source_ord"), order_of(F.col("role_category"), ROLES if roles is None else roles)]
     order += [F.col(c) for c in (tiebreak or ["role_category"])]
+    simple = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+    order += [F.col(f"`{c}`").asc_nulls_first() for c in sorted(simple)]
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where("_rank = 1").drop("_rank")
 

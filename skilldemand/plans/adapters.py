@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilldemand.operators.weekly import build_trends
-from skilldemand.session import scratch_dir, spread
+from skilldemand.session import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,7 +117,7 @@ EVENT_ROLES = [f"r{i}" for i in range(10)]
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings over nine weeks."""
     day = (F.col("doc_id") % 63).cast("int")
-    return spread(
+    return (
         table(spark, sf_dir, "documents").select(
             F.col("doc_id").alias("posting_id"),
             F.col("source"),
@@ -129,4 +129,4 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "skilldemand", master: str | None = None, **conf) -> SparkSession:
@@ -26,29 +24,11 @@ def build_session(app: str = "skilldemand", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
-@cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="skilldemand-")
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only a local-mode session without that setting gets a temporary folder.
+    Where that is unset, as in tests, a folder in the warehouse, which is shared too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = _local_scratch()
+    base = base or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few splits, such as one file with one row group.
-
-    An input with at least as many splits as there are cores, as any large table has,
-    is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
