@@ -68,7 +68,7 @@ def common_shingles(docs: DataFrame, width: int, limit: int = COMMON) -> np.ndar
 
     counted = docs.select("text").mapInArrow(often, "s long, n long")
     top = counted.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(limit)
-    return np.sort(np.array([r.s for r in top.select("s").collect()], np.int64).view(np.uint64))
+    return np.sort(top.select("s").toArrow()["s"].to_numpy().view(np.uint64))
 
 
 def required(n, percent: int = PERCENT):
@@ -135,9 +135,9 @@ def id_bits(ids: DataFrame) -> bytes:
     """
     bit = f"pmod(doc_id, {ID_BITS}L)"
     words = ids.selectExpr(f"shiftright({bit}, 5) w", f"shiftleft(1L, cast({bit} & 31L as int)) b")
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(ID_BITS >> 5, np.uint32)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    out[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
     return out.tobytes()
 
 

@@ -9,8 +9,11 @@ products, and its nearest neighbours vote with their similarity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,17 +80,34 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 class LatentSpace:
-    """Weights of terms and leading directions, from a matrix of counts."""
+    """Weights of terms and leading directions, from the counts of labelled texts.
+
+    Text ``r`` has ``times[bounds[r]:bounds[r + 1]]`` of the terms at those places of ``at``.
+    Only a block of texts is ever a dense matrix.
+    """
 
-    def __init__(self, terms: np.ndarray, counts: np.ndarray, rank: int):
-        n = len(counts)
+    def __init__(self, terms: np.ndarray, bounds: np.ndarray, at: np.ndarray, times: np.ndarray, rank: int):
+        n = len(bounds) - 1
         self.lookup = H.Lookup(terms, np.arange(len(terms)))
         self.width = len(terms)
-        self.idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 1
-        weighted = self._weigh(counts)
-        values, vectors = np.linalg.eigh(weighted.T @ weighted) if len(terms) and n else (np.zeros(0), np.zeros((len(terms), 0)))
+        self.idf = np.log((1 + n) / (1 + np.bincount(at, minlength=self.width))) + 1
+        gram = np.zeros((self.width, self.width), np.float32)
+        for counts in self._blocks(bounds, at, times):
+            weighted = self._weigh(counts)
+            gram += weighted.T @ weighted
+        values, vectors = np.linalg.eigh(gram) if len(terms) and n else (np.zeros(0), np.zeros((len(terms), 0)))
         lead = np.argsort(values)[::-1][:rank]
         self.axes = vectors[:, lead[values[lead] > 1e-6]].astype(np.float32)
+        fitted = [self.vectors(counts) for counts in self._blocks(bounds, at, times)]
+        self.fitted = np.concatenate([np.zeros((0, self.axes.shape[1]), np.float32), *fitted])
+
+    def _blocks(self, bounds: np.ndarray, at: np.ndarray, times: np.ndarray) -> Iterator[np.ndarray]:
+        for low in range(0, len(bounds) - 1, BLOCK):
+            own = bounds[low : low + BLOCK + 1]
+            counts = np.zeros((len(own) - 1, self.width), np.float32)
+            rows = np.repeat(np.arange(len(own) - 1), np.diff(own))
+            counts[rows, at[own[0] : own[-1]]] = times[own[0] : own[-1]]
+            yield counts
 
     def _weigh(self, counts: np.ndarray) -> np.ndarray:
         return unit(np.log1p(counts) * self.idf).astype(np.float32)
@@ -159,23 +179,24 @@ def quality_scores(
     seen = term_counts(chosen).dropDuplicates(["doc_id"]).persist()
     try:
         used = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-        used = used.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "t").limit(terms).collect()
-        names = np.sort(np.array([r.t for r in used], np.int64))
-        index = F.broadcast(seen.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(names)], "t long, i int"))
+        used = used.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "t").limit(terms).select("t").toArrow()
+        names = np.sort(used["t"].to_numpy())
+        index = pa.table({"t": names, "i": np.arange(len(names), dtype=np.int32)})
+        index = F.broadcast(seen.sparkSession.createDataFrame(index))
         pairs = seen.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
-        pairs = pairs.select("doc_id", F.col("p.terms").alias("t"), F.col("p.counts").alias("c")).join(index, "t")
+        pairs = pairs.select("doc_id", F.col("p.terms").alias("t"), F.col("p.counts").cast("int").alias("c")).join(index, "t")
         kept = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("i", "c")).alias("p"))
-        kept = seen.select("doc_id", "label").join(kept, "doc_id", "left").orderBy("doc_id").collect()
+        kept = seen.select("doc_id", "label").join(kept, "doc_id", "left").orderBy("doc_id")
+        kept = kept.select("label", F.col("p.i").alias("i"), F.col("p.c").alias("c")).toArrow()
     finally:
         seen.unpersist()
-    counts = np.zeros((len(kept), len(names)), np.float32)
-    for n, row in enumerate(kept):
-        for i, c in row.p or ():
-            counts[n, i] = c
-    space = LatentSpace(names, counts, rank)
-    known = space.vectors(counts) if len(kept) else np.zeros((0, 0), np.float32)
-    marked = np.array([r.label for r in kept], np.float64)
+    sizes = pc.fill_null(pc.list_value_length(kept["i"]), 0).to_numpy()
+    at, times = (pc.list_flatten(kept[c]).to_numpy() for c in ("i", "c"))
+    space = LatentSpace(names, np.append(0, np.cumsum(sizes)), at, times, rank)
+    known, space.fitted = space.fitted, None
+    marked = kept["label"].to_numpy().astype(np.float64)
     prior = float(marked.mean()) if len(marked) else 0.5
+    del kept, at, times
 
     def score(batches):
         for batch in batches:
