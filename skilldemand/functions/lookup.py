@@ -1,8 +1,9 @@
-"""Small reference tables as literals.
+"""Rows of a reference table by key, for the words or phrases of a text.
 
-A vocabulary or lexicon that fits (its rows are counted first) becomes a literal inside
-the expression, so looking up a text's words is part of the scan: no join, no shuffle of
-texts. Larger tables are joined instead, see ``operators.matching``.
+There are two ways to the same rows, and the caller chooses. Inlined, the table becomes a
+literal inside the expression, so the lookup is part of the scan: no join, no shuffle of
+texts; a table above ``MAX_INLINE_ROWS`` rows is refused. Joined, the table may have any
+size. Either way null keys are no rows and equal rows count once.
 """
 
 from __future__ import annotations
@@ -12,14 +13,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tables up to this many rows are inlined; beyond it the jobs join.
+# Most rows of a table that may become a literal.
 MAX_INLINE_ROWS = 20_000
 
 
-def rows_if_small(table: DataFrame, limit: int = MAX_INLINE_ROWS) -> list | None:
-    """The rows of a reference table, or None if it has more than ``limit``."""
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def distinct_rows(table: DataFrame, key: str) -> DataFrame:
+    return table.where(F.col(key).isNotNull()).distinct()
 
 
 def literal(value, ddl: str) -> Column:
@@ -27,16 +26,30 @@ def literal(value, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
 
 
+def join_rows(df: DataFrame, table: DataFrame, key: str, keys: Column, content: Column, out: str) -> DataFrame:
+    """Add all rows of ``table`` whose ``key`` is among ``keys``, an array of distinct strings.
+
+    ``content`` is a string that decides ``keys``. Rows are gathered by a hash of it, not
+    by an id, so repeated and null ids do no harm; null where nothing is found.
+    """
+    keyed = df.withColumn("_content", F.sha2(content.cast("binary"), 256))
+    hits = (
+        keyed.select("_content", F.explode(keys).alias(key))
+        .join(distinct_rows(table, key), key)
+        .groupBy("_content")
+        .agg(F.collect_set(F.struct(*table.columns)).alias(out))
+    )
+    return keyed.join(hits, "_content", "left").drop("_content")
+
+
 class InlineTable:
     """Rows of a small table spread over hash buckets, for lookups by ``key``."""
 
-    def __init__(self, table: DataFrame, key: str, limit: int = MAX_INLINE_ROWS):
+    def __init__(self, table: DataFrame, key: str):
         self.key = key
-        rows = rows_if_small(table, limit)
-        self.fits = rows is not None
-        if not self.fits:
-            return
-        self.rows = rows
+        rows = distinct_rows(table, key).limit(MAX_INLINE_ROWS + 1).collect()
+        if len(rows) > MAX_INLINE_ROWS:
+            raise ValueError(f"more than {MAX_INLINE_ROWS} rows can't be inlined; use inline=False")
         self.buckets = max(1, len(rows))
         fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in table.schema.fields)
         self._ddl = f"array<array<struct<{fields}>>>"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skilldemand.functions.lookup import MAX_INLINE_ROWS, InlineTable
+from skilldemand.functions.lookup import InlineTable, join_rows
 from skilldemand.functions.text import fold, word_runs
 
 _EDGE = "[a-zA-Z0-9_]"
@@ -53,25 +53,27 @@ def match_terms(
     docs: DataFrame,
     terms: DataFrame,
     text_col: str,
-    id_col: str,
     out: str = "matches",
     ignore_case: bool = True,
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """Add an array of the term rows found in the text, each with its count ``n``.
 
-    ``terms`` has the distinct texts in ``term`` and any other columns to carry along.
+    ``terms`` has the texts in ``term`` and any other columns to carry along; null terms are
+    ignored, equal rows count once. ``inline`` tells how they are looked up and changes no
+    result; larger tables than ``MAX_INLINE_ROWS`` need False.
     """
     attributes = terms.columns
+    terms = terms.where("term is not null")
     table = anchored(terms, ignore_case)
     words = F.array_append(
         word_runs(fold(F.col(text_col)) if ignore_case else F.col(text_col)), F.lit("")
     )
-    inline = InlineTable(table, "anchor", max_inline)
-    if inline.fits:
-        found = docs.withColumn("_candidates", inline.find(F.array_distinct(words)))
+    words = F.array_distinct(words)
+    if inline:
+        found = docs.withColumn("_candidates", InlineTable(table, "anchor").find(words))
     else:
-        found = _candidates_by_join(docs, table, words, id_col)
+        found = join_rows(docs, table, "anchor", words, F.col(text_col), "_candidates")
     counted = F.filter(
         F.transform(
             F.col("_candidates"),
@@ -89,13 +91,3 @@ def match_terms(
 def _ddl(terms: DataFrame) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in terms.schema.fields)
 
-
-def _candidates_by_join(docs: DataFrame, table: DataFrame, words: Column, id_col: str) -> DataFrame:
-    """For vocabularies too large to inline: join distinct words, gather per text, join back."""
-    hits = (
-        docs.select(id_col, F.explode(F.array_distinct(words)).alias("anchor"))
-        .join(table, "anchor")
-        .groupBy(id_col)
-        .agg(F.collect_list(F.struct(*table.columns)).alias("_candidates"))
-    )
-    return docs.join(hits, id_col, "left")

@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skilldemand.functions.lookup import MAX_INLINE_ROWS, InlineTable
+from skilldemand.functions.lookup import InlineTable, join_rows
 from skilldemand.functions.numbers import round_exact
 from skilldemand.functions.text import WHITESPACE, let, urgency
 
@@ -58,11 +58,11 @@ def score_sentiment(
     lexicon: DataFrame,
     text_col: str = "raw_text",
     id_col: str = "posting_id",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """(posting, compound, positive, negative, neutral, urgency); blank texts are neutral."""
     scored = with_sentiment(
-        postings.select(id_col, text_col), lexicon, text_col, id_col, max_inline=max_inline
+        postings.select(id_col, text_col), lexicon, text_col, id_col, inline=inline
     )
     return scored.select(
         id_col,
@@ -79,10 +79,10 @@ def compound(
     lexicon: DataFrame,
     text_col: str = "raw_text",
     id_col: str = "posting_id",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """(posting, compound)."""
-    return score_sentiment(postings, lexicon, text_col, id_col, max_inline).select(id_col, "compound")
+    return score_sentiment(postings, lexicon, text_col, id_col, inline).select(id_col, "compound")
 
 
 def words_of(text: Column) -> Column:
@@ -98,22 +98,23 @@ def with_sentiment(
     text_col: str,
     id_col: str,
     out: str = "sentiment",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
-    """Add a struct of unrounded compound, positive, negative and neutral scores."""
-    table = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double"))
+    """Add a struct of unrounded compound, positive, negative and neutral scores.
+
+    Words of the lexicon that are equal in lower case have the highest of their valences;
+    rows without a word or a valence are ignored. ``inline`` changes no result.
+    """
+    table = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double").alias("valence"))
+    table = table.where("valence is not null").groupBy("word").agg(F.max("valence").alias("valence"))
     words = F.coalesce(words_of(F.col(text_col)), F.array().cast("array<string>"))
-    inline = InlineTable(table, "word", max_inline)
-    if inline.fits:
-        found, hits = df, lambda lower: inline.find(F.array_distinct(lower))
+    if inline:
+        known = InlineTable(table, "word")
+        found, hits = df, lambda lower: known.find(F.array_distinct(lower))
     else:
-        by_word = (
-            df.select(id_col, F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word"))
-            .join(table, "word")
-            .groupBy(id_col)
-            .agg(F.collect_list(F.struct("word", "valence")).alias("_hits"))
+        found = join_rows(
+            df, table, "word", F.array_distinct(F.transform(words, F.lower)), F.col(text_col), "_hits"
         )
-        found = df.join(by_word, id_col, "left")
         hits = lambda lower: F.coalesce("_hits", F.array().cast(_HITS))
     text = F.col(text_col)
     blank = ~F.coalesce(text.rlike(f"[^{WHITESPACE}]"), F.lit(False))
@@ -131,7 +132,7 @@ def with_sentiment(
     )
     nothing = _result(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     scored = found.withColumn(out, F.when(blank, nothing).otherwise(let(doc, _scores)))
-    return scored if inline.fits else scored.drop("_hits")
+    return scored.drop("_hits")
 
 
 def _result(compound: Column, positive: Column, negative: Column, neutral: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skilldemand.functions.lookup import MAX_INLINE_ROWS, InlineTable
+from skilldemand.functions.lookup import InlineTable, join_rows
 from skilldemand.functions.text import explode_once, let, strip
 from skilldemand.operators.matching import match_terms
 
@@ -35,11 +35,11 @@ def match_vocab(
     vocab: DataFrame,
     text_col: str = "raw_text",
     id_col: str = "posting_id",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """(posting, skill, n): bounded occurrences of each vocabulary skill."""
     found = match_terms(
-        postings.select(id_col, text_col), vocab_terms(vocab), text_col, id_col, max_inline=max_inline
+        postings.select(id_col, text_col), vocab_terms(vocab), text_col, inline=inline
     )
     return explode_once(found, "matches", "m", id_col).select(
         id_col, F.col("m.term").alias("skill"), F.col("m.n").alias("n")
@@ -51,30 +51,23 @@ def match_chunks(
     vocab: DataFrame,
     chunks_col: str,
     id_col: str = "posting_id",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """(posting, skill, n=1) for each skill that equals one of the posting's phrases."""
-    found = _with_chunk_matches(postings.select(id_col, chunks_col), vocab, chunks_col, id_col, max_inline)
+    found = _with_chunk_matches(postings.select(id_col, chunks_col), vocab, chunks_col, inline)
     return explode_once(found, "_chunk_matches", "m", id_col).select(
         id_col, F.col("m.term").alias("skill"), F.lit(1).cast("bigint").alias("n")
     )
 
 
 def _with_chunk_matches(
-    df: DataFrame, vocab: DataFrame, chunks_col: str, id_col: str, max_inline: int
+    df: DataFrame, vocab: DataFrame, chunks_col: str, inline: bool
 ) -> DataFrame:
     keyed = vocab_terms(vocab).withColumn("key", F.lower("term"))
     chunks = F.array_distinct(F.transform(F.col(chunks_col), F.lower))
-    inline = InlineTable(keyed, "key", max_inline)
-    if inline.fits:
-        return df.withColumn("_chunk_matches", inline.find(chunks))
-    hits = (
-        df.select(id_col, F.explode(chunks).alias("key"))
-        .join(keyed, "key")
-        .groupBy(id_col)
-        .agg(F.collect_list(F.struct("term", "ord", "key")).alias("_chunk_matches"))
-    )
-    return df.join(hits, id_col, "left")
+    if inline:
+        return df.withColumn("_chunk_matches", InlineTable(keyed, "key").find(chunks))
+    return join_rows(df, keyed, "key", chunks, F.to_json(chunks), "_chunk_matches")
 
 
 def with_skills(
@@ -85,10 +78,10 @@ def with_skills(
     chunks_col: str | None = None,
     min_count: int = 1,
     out: str = "skills",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """Add the skills of a text as (skill, n), most frequent first, then vocabulary order."""
-    found = match_terms(df, vocab_terms(vocab), text_col, id_col, "_matches", max_inline=max_inline)
+    found = match_terms(df, vocab_terms(vocab), text_col, "_matches", inline=inline)
     if chunks_col is None:
         counts = F.transform(
             F.col("_matches"),
@@ -97,7 +90,7 @@ def with_skills(
             ),
         )
     else:
-        found = _with_chunk_matches(found, vocab, chunks_col, id_col, max_inline)
+        found = _with_chunk_matches(found, vocab, chunks_col, inline)
         counts = _sum_matches(F.col("_matches"), F.col("_chunk_matches"))
     kept = F.filter(counts, lambda c: -c["neg"] >= min_count)
     ordered = F.transform(
@@ -146,12 +139,12 @@ def extract_skills(
     id_col: str = "posting_id",
     chunks_col: str | None = None,
     min_count: int = 1,
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """(posting, skills): array of (skill, n) for every posting, empty where none is found."""
     columns = [id_col, text_col] + ([chunks_col] if chunks_col else [])
     return with_skills(
-        postings.select(*columns), vocab, text_col, id_col, chunks_col, min_count, max_inline=max_inline
+        postings.select(*columns), vocab, text_col, id_col, chunks_col, min_count, inline=inline
     ).select(id_col, "skills")
 
 
@@ -159,17 +152,18 @@ def categorise(
     postings: DataFrame,
     vocab: DataFrame,
     skills_col: str = "skills_extracted",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """Add ``technical`` and ``soft`` arrays; what is not a soft skill is technical."""
     soft = vocab.where(F.col("kind") == "soft").select(F.lower("skill").alias("key")).distinct()
     lowered = F.transform(F.col(skills_col), F.lower)
-    inline = InlineTable(soft, "key", max_inline)
-    if inline.fits:
-        known = F.transform(inline.find(F.array_distinct(lowered)), lambda row: row["key"])
-        found = postings.withColumn("_soft", known)
+    keys = F.array_distinct(lowered)
+    if inline:
+        found = postings.withColumn("_soft", InlineTable(soft, "key").find(keys))
     else:
-        found = _soft_by_join(postings, soft, skills_col)
+        found = join_rows(postings, soft, "key", keys, F.to_json(keys), "_soft")
+    none = F.array().cast("array<struct<key: string>>")
+    found = found.withColumn("_soft", F.transform(F.coalesce("_soft", none), lambda row: row["key"]))
     is_soft = lambda s: F.array_contains(F.col("_soft"), F.lower(s))
     return found.withColumns(
         {
@@ -179,30 +173,16 @@ def categorise(
     ).drop("_soft")
 
 
-def _soft_by_join(postings: DataFrame, soft: DataFrame, skills_col: str) -> DataFrame:
-    """Distinct skills of the postings that are soft, joined back by skill and gathered per array."""
-    by_array = postings.select(skills_col).distinct()
-    known = (
-        by_array.select(skills_col, F.explode(skills_col).alias("_s"))
-        .join(soft, F.lower("_s") == soft["key"])
-        .groupBy(skills_col)
-        .agg(F.collect_set("key").alias("_soft"))
-    )
-    return postings.join(known, skills_col, "left").withColumn(
-        "_soft", F.coalesce("_soft", F.array().cast("array<string>"))
-    )
-
-
 def extract_entities(
     postings: DataFrame,
     gazetteer: DataFrame,
     text_col: str = "raw_text",
     id_col: str = "posting_id",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     """(posting, entities) from a table of (name, label); names match case-sensitively."""
     return with_entities(
-        postings.select(id_col, text_col), gazetteer, text_col, id_col, max_inline=max_inline
+        postings.select(id_col, text_col), gazetteer, text_col, id_col, inline=inline
     ).select(id_col, "entities")
 
 
@@ -212,7 +192,7 @@ def with_entities(
     text_col: str,
     id_col: str,
     out: str = "entities",
-    max_inline: int = MAX_INLINE_ROWS,
+    inline: bool = True,
 ) -> DataFrame:
     terms = (
         gazetteer.select(strip(F.col("name")).alias("term"), entity_field(F.col("label")).alias("field"))
@@ -220,7 +200,7 @@ def with_entities(
         .distinct()
     )
     found = match_terms(
-        df, terms, text_col, id_col, "_mentions", ignore_case=False, max_inline=max_inline
+        df, terms, text_col, "_mentions", ignore_case=False, inline=inline
     )
     return found.withColumn(out, _entity_struct(F.col("_mentions"))).drop("_mentions")
 

@@ -46,13 +46,13 @@ def test_vocab_order_and_first_occurrence(vocab):
     assert {r.kind for r in rows if r.skill == "Docker"} == {"technical"}
 
 
-@pytest.mark.parametrize("max_inline", [20_000, 0])
-def test_match_vocab_equals_brute_force(spark, vocab, max_inline):
+@pytest.mark.parametrize("inline", [True, False])
+def test_match_vocab_equals_brute_force(spark, vocab, inline):
     names = [r.skill for r in vocab.collect()]
     random.seed(3)
     pieces = names + ["foo", "_", "+", ".", " ", "9", "Ünder", "-", "/"]
     texts = TEXTS + ["".join(random.choice(pieces) + random.choice(["", " ", ",", "x"]) for _ in range(40)) for _ in range(60)]
-    got = as_dict(K.match_vocab(docs(spark, texts), vocab, max_inline=max_inline))
+    got = as_dict(K.match_vocab(docs(spark, texts), vocab, inline=inline))
     assert got == brute_counts(texts, names)
     assert got[0, "Python"] == 4 and (1, "R") not in got
 
@@ -72,36 +72,36 @@ def test_extract_skills(spark, vocab):
     assert [s.skill for s in few.skills] == ["Python"]
 
 
-@pytest.mark.parametrize("max_inline", [20_000, 0])
-def test_chunks_add_one_and_sort_last(spark, vocab, max_inline):
+@pytest.mark.parametrize("inline", [True, False])
+def test_chunks_add_one_and_sort_last(spark, vocab, inline):
     df = spark.createDataFrame(
         [(1, "SQL and Python and python", ["python", "AGILE", "other", "agile"])],
         "posting_id bigint, raw_text string, chunks array<string>",
     )
-    row = K.extract_skills(df, vocab, chunks_col="chunks", max_inline=max_inline).first()
+    row = K.extract_skills(df, vocab, chunks_col="chunks", inline=inline).first()
     assert [(s.skill, s.n) for s in row.skills] == [("Python", 3), ("SQL", 1), ("agile", 1)]
-    chunked = K.match_chunks(df, vocab, "chunks", max_inline=max_inline).collect()
+    chunked = K.match_chunks(df, vocab, "chunks", inline=inline).collect()
     assert sorted(r.skill for r in chunked) == ["Python", "agile"]
 
 
-@pytest.mark.parametrize("max_inline", [20_000, 0])
-def test_categorise(spark, vocab, max_inline):
+@pytest.mark.parametrize("inline", [True, False])
+def test_categorise(spark, vocab, inline):
     df = spark.createDataFrame(
         [(1, ["Python", "Agile", "unknown", "stakeholder management"]), (2, [])],
         "posting_id bigint, skills_extracted array<string>",
     )
-    rows = {r.posting_id: r for r in K.categorise(df, vocab, max_inline=max_inline).collect()}
+    rows = {r.posting_id: r for r in K.categorise(df, vocab, inline=inline).collect()}
     assert rows[1].technical == ["Python", "unknown"]
     assert rows[1].soft == ["Agile", "stakeholder management"]
     assert rows[2].technical == [] and rows[2].soft == []
 
 
-@pytest.mark.parametrize("max_inline", [20_000, 0])
-def test_entities(spark, max_inline):
+@pytest.mark.parametrize("inline", [True, False])
+def test_entities(spark, inline):
     names = [("London", "GPE"), ("Acme Corp", "ORG"), ("the City", "LOC"), ("Jira", "PRODUCT"), ("2026", "DATE")]
     gazetteer = spark.createDataFrame(names, "name string, label string")
     texts = ["Acme Corp, London: use Jira in the City in 2026. London", "london acme corp", ""]
-    rows = K.extract_entities(docs(spark, texts), gazetteer, max_inline=max_inline).orderBy("posting_id").collect()
+    rows = K.extract_entities(docs(spark, texts), gazetteer, inline=inline).orderBy("posting_id").collect()
     assert rows[0].entities.asDict() == {"orgs": ["Acme Corp"], "locations": ["London", "the City"], "products": ["Jira"]}
     assert rows[1].entities.orgs == [] and rows[2].entities.locations == []
 
@@ -123,11 +123,11 @@ def test_merge_tools_and_phrases(spark):
 LEXICON = [("great", 3.1), ("good", 1.9), ("bad", -2.5), ("toxic", -2.6)]
 
 
-@pytest.mark.parametrize("max_inline", [20_000, 0])
-def test_sentiment_rules(spark, max_inline):
+@pytest.mark.parametrize("inline", [True, False])
+def test_sentiment_rules(spark, inline):
     lexicon = spark.createDataFrame(LEXICON, "word string, valence double")
     texts = ["good", "very good", "not good", "GOOD day", "good but bad", "good!!", "", "so very good", "least good", "nothing here"]
-    rows = score_sentiment(docs(spark, texts), lexicon, max_inline=max_inline).orderBy("posting_id").collect()
+    rows = score_sentiment(docs(spark, texts), lexicon, inline=inline).orderBy("posting_id").collect()
 
     def norm(x):
         return round(x / (x * x + 15) ** 0.5, 4)
@@ -147,3 +147,30 @@ def test_sentiment_rules(spark, max_inline):
     assert [r.compound for r in rows] == pytest.approx(want, abs=1e-9)
     assert (rows[6].positive, rows[6].negative, rows[6].neutral, rows[6].urgency) == (0.0, 0.0, 1.0, 0)
     assert all(abs(r.positive + r.negative + r.neutral - 1) < 0.002 for r in rows)
+
+
+@pytest.mark.parametrize("inline", [True, False])
+def test_odd_tables_and_ids(spark, inline):
+    df = spark.createDataFrame(
+        [(1, "python only"), (1, "Python and sql, Good"), (None, "sql good"), (2, None)],
+        "posting_id bigint, raw_text string",
+    )
+    vocab = spark.createDataFrame([("Python", 0), ("Python", 0), ("SQL", 1), (None, 2)], "skill string, ord bigint")
+    found = K.extract_skills(df, vocab, inline=inline).collect()
+    assert sorted((r.posting_id or 0, [tuple(s) for s in r.skills]) for r in found) == [
+        (0, [("SQL", 1)]),
+        (1, [("Python", 1)]),
+        (1, [("Python", 1), ("SQL", 1)]),
+        (2, []),
+    ]
+    lexicon = spark.createDataFrame([("good", 1.9), ("Good", -3.0), (None, 1.0), ("sql", None)], "word string, valence double")
+    scores = sorted(r.compound for r in score_sentiment(df, lexicon, inline=inline).collect())
+    assert scores == pytest.approx([0.0, 0.0, 0.4404, 0.4404])
+
+
+def test_tables_that_cannot_be_inlined_are_refused(spark):
+    wide = spark.range(20_001).selectExpr("concat('w', id) skill", "id ord")
+    df = docs(spark, ["w3 and w20000"])
+    with pytest.raises(ValueError):
+        K.match_vocab(df, wide)
+    assert as_dict(K.match_vocab(df, wide, inline=False)) == {(0, "w3"): 1, (0, "w20000"): 1}
