@@ -12,16 +12,16 @@ from skilldemand.operators import topics as M
 from skilldemand.schemas import PROCESSED, TOPIC, TRENDS
 from skilldemand.streaming import incremental as I
 
-AT = dt.datetime(2026, 4, 14, 10)
+AT = dt.datetime(2026, 3, 4, 10)
 
 
 @pytest.fixture(scope="module")
 def small(spark):
     postings = spark.createDataFrame(
         [
-            ("1", "reed", "data analyst", "Data Analyst", "Acme", "London", "u1", "Looking for Python and SQL skills", AT, None),
-            ("2", "remoteok", "ml engineer", "ML", "Beta", None, "u2", "Immediate opening! PyTorch experience required urgently.", AT, None),
-            ("3", "reed", "data analyst", "Backend", "Gamma", "NY", "u3", "SQL and dbt experience needed", AT, None),
+            ("p1", "board", "nurse", "Ward Nurse", "St Anna", "Leeds", "w1", "Wards need triage and first aid", AT, None),
+            ("p2", "agency", "baker", "Night Baker", "Krume", None, "w2", "Sourdough baker: immediate start, urgently wanted", AT, None),
+            ("p3", "board", "nurse", "School Nurse", "Oakfield", "York", "w3", "First aid for pupils", AT, None),
         ],
         "posting_id string, source string, role_category string, title string, company string, location string, "
         "url string, raw_text string, scraped_at timestamp, posted_at timestamp",
@@ -29,15 +29,13 @@ def small(spark):
     none = {"orgs": [], "locations": [], "products": []}
     processed = spark.createDataFrame(
         [
-            ("1", ["python", "sql"], 0.25, (0, "data_analysis", 0.8), none, AT),
-            ("2", ["pytorch", "python"], -0.10, (1, "machine_learning", 0.9), none, AT),
+            ("p1", ["triage", "first aid"], 0.5, (0, "care", 0.7), none, AT),
+            ("p2", ["sourdough"], -0.2, (1, "kitchen", 0.6), none, AT),
         ],
         PROCESSED,
     )
-    week = dt.date(2026, 4, 13)
-    trends = spark.createDataFrame(
-        [("python", "data analyst", week, 10, 0.8), ("python", "data analyst", dt.date(2026, 4, 6), 6, 0.5)], TRENDS
-    )
+    weeks = dt.date(2026, 3, 2), dt.date(2026, 2, 23)
+    trends = spark.createDataFrame([("triage", "nurse", weeks[0], 7, 0.7), ("triage", "nurse", weeks[1], 4, 0.5)], TRENDS)
     return postings, processed, trends
 
 
@@ -45,11 +43,11 @@ def test_status_queries(small):
     postings, processed, trends = small
     rows = {r.role_category: r for r in P.roles(postings, processed).collect()}
     assert all(r.posting_count == r.processed_count + r.unprocessed_count for r in rows.values())
-    assert rows["data analyst"].unprocessed_count == 1
+    assert rows["nurse"].unprocessed_count == 1
     stats = P.stats(postings, processed, trends).first()
     assert (stats.total_postings, stats.processed_postings, stats.unprocessed_postings, stats.roles_tracked) == (3, 2, 1, 2)
-    assert stats.sources == ["reed", "remoteok"] and stats.weeks_of_data == 2
-    nobody = P.stats(postings, processed, trends, "nobody").first()
+    assert stats.sources == ["agency", "board"] and stats.weeks_of_data == 2
+    nobody = P.stats(postings, processed, trends, "sailor").first()
     assert (nobody.total_postings, nobody.roles_tracked, nobody.last_scraped) == (0, 1, None)
     counts = {r.table_name: r.rows for r in P.table_counts(*small).collect()}
     assert counts == {"postings": 3, "processed": 2, "trends": 2}
@@ -59,27 +57,27 @@ def test_timeline_and_topics(small):
     postings, processed, _ = small
     timeline = P.sentiment_timeline(postings, processed)
     (row,) = timeline.collect()
-    assert (str(row.week), row.avg_sentiment, row.urgency_score, row.posting_count) == ("2026-04-13", 0.075, 2, 2)
+    assert (str(row.week), row.avg_sentiment, row.urgency_score, row.posting_count) == ("2026-03-02", 0.15, 3, 2)
     summary = P.timeline_summary(timeline).first()
-    assert (summary.total_urgency, summary.change, summary.direction) == (2, None, None)
+    assert (summary.total_urgency, summary.change, summary.direction) == (3, None, None)
     topics = [(r.topic_label, r.posting_count, r.avg_probability) for r in P.topics(postings, processed).collect()]
-    assert topics == [("data_analysis", 1, 0.8), ("machine_learning", 1, 0.9)]
+    assert topics == [("care", 1, 0.7), ("kitchen", 1, 0.6)]
 
 
 def test_pages(small):
     postings, processed, _ = small
     data, envelope = P.recent_postings(postings, processed, None, 1, 2)
     first, second = data.collect()
-    assert (first.posting_id, first.skills, first.location) == ("1", ["python", "sql"], "London")
+    assert (first.posting_id, first.skills, first.location) == ("p1", ["triage", "first aid"], "Leeds")
     assert second.location == ""
     assert envelope.first().total_pages == 2 and envelope.first().has_next
     assert P.recent_postings(postings, processed, None, 9, 2)[0].count() == 0
     third = P.recent_postings(postings, processed, None, 2, 2)[0].first()
     assert (third.skills, third.topics, third.sentiment_score) == ([], None, None)
-    assert P.recent_by_role(postings, "data analyst", 1).count() == 1
-    assert P.posting_detail(postings, processed, "2").first().sentiment_score == -0.1
+    assert P.recent_by_role(postings, "nurse", 1).count() == 1
+    assert P.posting_detail(postings, processed, "p2").first().sentiment_score == -0.2
     assert P.posting_detail(postings, processed, "9").count() == 0
-    assert [r.posting_id for r in P.unprocessed(postings, processed, 5).collect()] == ["3"]
+    assert [r.posting_id for r in P.unprocessed(postings, processed, 5).collect()] == ["p3"]
 
 
 def test_bands(spark):

@@ -42,8 +42,8 @@ def test_card_fallbacks():
 
 FLAT = [
     {"legal": "terms"},
-    {"id": "1", "epoch": 1776153600, "company": "DataFlow", "position": "Data Scientist", "tags": ["data-science"],
-     "description": "<p>We are <b>DataFlow</b>.</p><ul><li>Build</li></ul>", "url": "https://r/1", "location": "Worldwide"},
+    {"id": "1", "epoch": 1772013600, "company": "Harbour Labs", "position": "Data Scientist", "tags": ["tides"],
+     "description": "<p>Tides at <i>Harbour Labs</i></p><ol><li>Model</li></ol>", "url": "https://h/7", "location": "Oban"},
     {"id": "2", "epoch": None, "position": "Developer", "tags": [], "description": "", "url": "", "location": None},
     {"id": 3, "position": None, "title": "ML Engineer", "company": None},
 ]
@@ -54,7 +54,7 @@ def test_flat_feed_and_roles(spark):
     rows = sorted(feeds.parse_flat_feed(raw).collect(), key=lambda r: r.url)
     assert [r.title for r in rows] == ["Data Scientist", "Developer", "ML Engineer"]
     first, second, third = rows
-    assert str(first.posted_at) == "2026-04-14 08:00:00" and first.raw_text == "We are DataFlow . Build"
+    assert str(first.posted_at) == "2026-02-25 10:00:00" and first.raw_text == "Tides at Harbour Labs Model"
     assert (second.company, second.location, second.posted_at, second.raw_text) == ("Unknown", "Remote", None, "")
     assert (third.company, third.url) == (None, "https://remoteok.com/l/3")
     tagged = I.tag_roles(feeds.parse_flat_feed(raw))
@@ -128,15 +128,15 @@ def test_store_and_upsert(spark, trends, tmp_path):
     base = str(tmp_path)
     store.write_table(trends, base, "trends", "overwrite")
     assert store.read_table(spark, base, "trends").count() == len(TREND_ROWS)
-    delta = spark.createDataFrame([("Python", "data analyst", CURR, 8)], "skill string, role_category string, week_start date, mention_count bigint")
-    totals = spark.createDataFrame([("data analyst", CURR, 100)], "role_category string, week_start date, total_postings bigint")
+    delta = spark.createDataFrame([("First aid", "nurse", CURR, 10)], "skill string, role_category string, week_start date, mention_count bigint")
+    totals = spark.createDataFrame([("nurse", CURR, 100)], "role_category string, week_start date, total_postings bigint")
     store.upsert_trends(spark, base, delta, totals)
     rows = {(r.skill, r.role_category, r.week_start): r for r in store.read_table(spark, base, "trends").collect()}
     assert len(rows) == len(TREND_ROWS)
-    python = rows["Python", "data analyst", CURR]
-    assert (python.mention_count, python.pct_of_postings) == (50, 0.5)
-    assert rows["SQL", "data analyst", CURR].pct_of_postings == 0.38
-    assert rows["LLM", "data analyst", OLD4].mention_count == 1
+    first = rows["First aid", "nurse", CURR]
+    assert (first.mention_count, first.pct_of_postings) == (70, 0.7)
+    assert rows["Night shifts", "nurse", CURR].pct_of_postings == 0.36
+    assert rows["Wound care", "nurse", OLD4].mention_count == 2
 
 
 def test_latest_week_reads_one_partition(spark, trends, tmp_path):
@@ -158,10 +158,10 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
 
 def test_csv_exports(spark, trends, tmp_path):
     path = str(tmp_path / "t")
-    store.export_trending(trends, path, "devops")
+    store.export_trending(trends, path, "baker")
     assert spark.read.csv(path, header=True).columns == store.TRENDING_COLUMNS
     store.export_trending(trends.where("false"), path)
     lines = [r.value for r in spark.read.text(path).collect()]
     assert lines == [",".join(store.TRENDING_COLUMNS)]
-    store.export_gap(trends, "devops", ["helm"], path)
-    assert [r.value for r in spark.read.text(path).collect()][1] == "Helm,matched,48.0,devops"
+    store.export_gap(trends, "baker", ["ovens"], path)
+    assert [r.value for r in spark.read.text(path).collect()][1] == "Ovens,matched,30.0,baker"

@@ -11,83 +11,84 @@ from skilldemand.schemas import TRENDS
 
 
 def test_wow_change(spark, trends):
-    keys = spark.createDataFrame(
-        [(s, "data analyst") for s in ("Python", "SQL", "dbt", "Snowflake", "CobolXYZ")],
-        "skill string, role_category string",
-    )
+    names = ("First aid", "Night shifts", "Triage", "Phlebotomy", "Juggling")
+    keys = spark.createDataFrame([(s, "nurse") for s in names], "skill string, role_category string")
     rows = {r.skill: r for r in T.wow_change(trends, keys).collect()}
-    assert rows["Python"].change_pct == 40.0 and rows["Python"].is_rising
-    assert (rows["Python"].current_count, rows["Python"].previous_count) == (42, 30)
-    assert (rows["Python"].current_week, rows["Python"].previous_week) == (CURR, PREV)
-    assert rows["SQL"].change_pct == 0.0 and not rows["SQL"].is_rising
-    assert rows["dbt"].change_pct == 90.0
-    assert rows["Snowflake"].change_pct == 100.0 and rows["Snowflake"].previous_week is None
-    assert rows["CobolXYZ"].change_pct == 0.0 and rows["CobolXYZ"].current_week is None
+    first = rows["First aid"]
+    assert (first.change_pct, first.is_rising) == (25.0, True)
+    assert (first.current_count, first.previous_count, first.current_week, first.previous_week) == (60, 48, CURR, PREV)
+    assert (rows["Night shifts"].change_pct, rows["Night shifts"].is_rising) == (-10.0, False)
+    assert (rows["Triage"].change_pct, rows["Triage"].is_rising) == (0.0, False)
+    assert (rows["Phlebotomy"].change_pct, rows["Phlebotomy"].previous_week) == (100.0, None)
+    assert (rows["Juggling"].change_pct, rows["Juggling"].current_week) == (0.0, None)
 
 
 def test_wow_uses_previous_row_and_trending_the_calendar_week(trends):
-    llm = T.wow_change(trends).where("skill = 'LLM'").first()
-    assert llm.previous_week == OLD4 and llm.change_pct == 700.0
-    assert T.trending(trends).where("skill = 'LLM'").first().wow_change == 100.0
+    row = T.wow_change(trends).where("skill = 'Wound care'").first()
+    assert (row.previous_week, row.change_pct) == (OLD4, 350.0)
+    assert T.trending(trends).where("skill = 'Wound care'").first().wow_change == 100.0
 
 
 def test_rising(trends):
-    rows = T.rising_skills(trends, "data analyst").collect()
-    changes = [r.change_pct for r in rows]
-    assert changes == sorted(changes, reverse=True) and len(rows) == 7
-    assert T.rising_skills(trends, "data analyst", 3).count() == 3
-    assert T.rising_skills(trends, "no such role").count() == 0
+    rows = [(r.skill, r.change_pct) for r in T.rising_skills(trends, "nurse").collect()]
+    assert rows == [
+        ("Wound care", 350.0), ("Phlebotomy", 100.0), ("First aid", 25.0), ("Triage", 0.0), ("Night shifts", -10.0),
+    ]
+    assert T.rising_skills(trends, "nurse", 2).count() == 2
+    assert T.rising_skills(trends, "sailor").count() == 0
 
 
 def test_cooccurrence(skill_sets):
     postings, processed = skill_sets
-    rows = T.cooccurrence(postings, processed, "data analyst").collect()
-    top = [({r.skill_a, r.skill_b}, r["count"]) for r in rows[:3]]
-    assert ({"Python", "SQL"}, 4) in top
-    counts = [r["count"] for r in rows]
-    assert counts == sorted(counts, reverse=True)
-    assert all(r["count"] >= 3 for r in T.cooccurrence(postings, processed, "data analyst", min_count=3).collect())
-    assert T.cooccurrence(postings, processed, "data analyst", top_n=3).count() == 3
-    cells = {(r.skill_a, r.skill_b): r["count"] for r in T.cooccurrence_matrix(postings, processed, "data analyst").collect()}
+    rows = T.cooccurrence(postings, processed, "nurse", min_count=1).collect()
+    counts = [({r.skill_a, r.skill_b}, r["count"]) for r in rows]
+    assert counts[:2] == [({"First aid", "Triage"}, 3), ({"Night shifts", "Triage"}, 2)]
+    assert len(counts) == 5 and all(n == 1 for _, n in counts[2:])
+    assert T.cooccurrence(postings, processed, "nurse", min_count=2).count() == 2
+    assert T.cooccurrence(postings, processed, "nurse", min_count=1, top_n=4).count() == 4
+    cells = {(r.skill_a, r.skill_b): r["count"] for r in T.cooccurrence_matrix(postings, processed, "nurse").collect()}
     assert all(cells[b, a] == n for (a, b), n in cells.items())
-    assert cells["SQL", "SQL"] == 5 and cells["Tableau", "Tableau"] == 1
-    assert T.cooccurrence_skills(postings, processed, "data analyst").count() == 7
+    assert cells["Triage", "Triage"] == 4 and cells["Phlebotomy", "Phlebotomy"] == 1
+    assert T.cooccurrence_skills(postings, processed, "nurse").count() == 4
 
 
 def test_role_similarity(trends):
     def one(a, b):
         return T.role_similarity(trends, a, b).first().similarity
 
-    assert one("data analyst", "data analyst") == 1.0
-    assert one("data analyst", "data scientist") > 0.6
-    assert one("data analyst", "devops") < 0.5
-    assert one("data analyst", "ml engineer") == one("ml engineer", "data analyst")
-    assert one("data analyst", "nobody") == 0.0 and one("nobody", "noone") == 0.0
-    roles = ["data analyst", "ml engineer", "devops", "nobody"]
-    cells = {(r.row, r.col): r.similarity for r in T.similarity_matrix(trends, roles).collect()}
-    assert len(cells) == 16 and all(cells[i, i] == 1.0 for i in range(4))
-    assert all(cells[i, j] == cells[j, i] and 0 <= v <= 1 for (i, j), v in cells.items())
-    assert cells[0, 3] == 0.0
-    pairs = T.similar_pairs(trends, roles, 2, 1).collect()
-    assert [p.section for p in pairs].count("most") == 2
+    assert one("nurse", "nurse") == 1.0
+    # mean shares: (0.675 * 0.95 + 0.3 * 0.4) / (sqrt(0.797975) * sqrt(1.3125))
+    assert one("nurse", "paramedic") == one("paramedic", "nurse") == 0.7438
+    # 0.475 * 0.5 / (sqrt(0.797975) * sqrt(1.0625))
+    assert one("nurse", "baker") == 0.2579
+    assert one("nurse", "sailor") == one("sailor", "smith") == 0.0
+    cells = {(r.row, r.col): r.similarity for r in T.similarity_matrix(trends, ["nurse", "paramedic", "baker", "sailor"]).collect()}
+    want = [[1.0, 0.7438, 0.2579, 0.0], [0.7438, 1.0, 0.0, 0.0], [0.2579, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]]
+    assert cells == {(i, j): want[i][j] for i in range(4) for j in range(4)}
+    pairs = T.similar_pairs(trends, ["nurse", "paramedic", "baker"], 2, 1).collect()
+    assert [(p.section, p.similarity) for p in pairs] == [("most", 0.7438), ("most", 0.2579), ("least", 0.0)]
 
 
 def test_emerging(trends):
-    rows = {(r.skill, r.role_category): r for r in T.emerging(trends).collect()}
-    assert ("LangChain", "ml engineer") not in rows and ("Python", "data analyst") not in rows
-    assert rows["LLM", "data analyst"].growth_pct == 700.0
-    assert rows["Snowflake", "data analyst"].growth_pct == 100.0
-    assert T.emerging(trends, min_current=1000).count() == 0
+    rows = {(r.skill, r.role_category): r.growth_pct for r in T.emerging(trends).collect()}
+    assert rows == {
+        ("Wound care", "nurse"): 350.0,
+        ("Phlebotomy", "nurse"): 100.0,
+        ("First aid", "paramedic"): 100.0,
+        ("Triage", "paramedic"): 100.0,
+        ("Night shifts", "baker"): 100.0,
+        ("Ovens", "baker"): 100.0,
+    }
+    assert T.emerging(trends, min_current=61).count() == 0
     assert T.emerging(trends.where("false")).count() == 0
     assert T.trending(trends.where("false")).count() == 0
 
 
-API_WEEK = dt.date(2026, 4, 13)
 API_ROWS = [
-    ("python", "data analyst", API_WEEK, 10, 0.8),
-    ("sql", "data analyst", API_WEEK, 8, 0.64),
-    ("python", "data analyst", dt.date(2026, 4, 6), 6, 0.5),
-    ("pytorch", "ml engineer", API_WEEK, 5, 0.7),
+    ("welding", "fitter", CURR, 14, 0.7),
+    ("brazing", "fitter", CURR, 9, 0.45),
+    ("welding", "fitter", PREV, 8, 0.4),
+    ("glazing", "joiner", CURR, 4, 0.5),
 ]
 
 
@@ -98,53 +99,52 @@ def api_trends(spark):
 
 def test_trending(api_trends):
     rows = {r.skill: r for r in T.trending(api_trends).collect()}
-    assert rows["python"].wow_change == 66.7 and rows["python"].is_rising
-    assert rows["sql"].wow_change == rows["pytorch"].wow_change == 100.0
+    assert rows["welding"].wow_change == 75.0 and rows["welding"].is_rising
+    assert rows["brazing"].wow_change == rows["glazing"].wow_change == 100.0
     data, envelope = T.trending_page(api_trends, page=9, page_size=2)
-    assert [r.skill for r in data.collect()] == ["pytorch"]
+    assert [r.skill for r in data.collect()] == ["glazing"]
     assert envelope.first().asDict() == {
         "page": 2, "page_size": 2, "total_count": 3, "total_pages": 2, "has_next": False, "has_prev": True,
     }
 
 
 def test_latest_week_is_global(spark, api_trends):
-    later = spark.createDataFrame([("x", "devops", dt.date(2026, 4, 20), 1, 1.0)], TRENDS)
-    assert T.trending(api_trends.union(later), "data analyst").count() == 0
-    assert T.rising_skills(api_trends.union(later), "data analyst").count() == 2
+    later = spark.createDataFrame([("planing", "joiner", CURR + dt.timedelta(weeks=1), 1, 1.0)], TRENDS)
+    assert T.trending(api_trends.union(later), "fitter").count() == 0
+    assert T.rising_skills(api_trends.union(later), "fitter").count() == 2
 
 
 def test_compare(api_trends, trends):
-    row = T.compare_overlap(api_trends, ["data analyst", "ml engineer"]).first()
+    row = T.compare_overlap(api_trends, ["fitter", "joiner"]).first()
     assert (row.overlap_pct, row.similarity_score) == (0.0, 0.0)
-    assert T.compare_shared(api_trends, ["data analyst", "ml engineer"]).count() == 0
+    assert T.compare_shared(api_trends, ["fitter", "joiner"]).count() == 0
     with pytest.raises(ValueError):
-        T.compare_overlap(api_trends, ["data analyst", " "])
-    shared = [r.skill for r in T.compare_shared(trends, ["data analyst", "data scientist"]).collect()]
-    assert shared == ["Python", "SQL", "stakeholder management", "agile"]
-    profiles = T.compare_profiles(trends, ["data analyst", "devops"], 2).collect()
-    assert [r.skill for r in profiles if (r.role_category, r.section) == ("devops", "top")] == ["Terraform", "Kubernetes"]
+        T.compare_overlap(api_trends, ["fitter", " "])
+    assert [r.skill for r in T.compare_shared(trends, ["nurse", "paramedic"]).collect()] == ["First aid", "Triage"]
+    profiles = T.compare_profiles(trends, ["nurse", "baker"], 2).collect()
+    assert [r.skill for r in profiles if (r.role_category, r.section) == ("baker", "top")] == ["Sourdough", "Night shifts"]
 
 
 def test_gap(api_trends, trends):
-    gap = T.skill_gap(api_trends, " Data Analyst ", ["Python ", "excel"]).collect()
-    assert [(r.skill, r.status, r.demand_pct) for r in gap] == [("python", "matched", 80.0), ("sql", "missing", 64.0)]
-    score = T.gap_score(api_trends, "data analyst", ["python", "excel"]).first()
-    assert (score.match_score, score.band, score.total_postings_analysed) == (50.0, "partial", 12)
-    empty = T.gap_score(api_trends, "nobody", ["python"]).first()
+    gap = T.skill_gap(api_trends, " Fitter ", ["Welding ", "juggling"]).collect()
+    assert [(r.skill, r.status, r.demand_pct) for r in gap] == [("welding", "matched", 70.0), ("brazing", "missing", 45.0)]
+    score = T.gap_score(api_trends, "fitter", ["welding", "juggling"]).first()
+    assert (score.match_score, score.band, score.total_postings_analysed) == (50.0, "partial", 20)
+    empty = T.gap_score(api_trends, "sailor", ["welding"]).first()
     assert (empty.match_score, empty.matched, empty.total_postings_analysed) == (0.0, 0, 0)
-    bonus = T.skill_gap(trends, "data analyst", ["llm", "python"], top_n=3).collect()
+    bonus = T.skill_gap(trends, "nurse", ["phlebotomy", "first aid"], top_n=3).collect()
     assert [(r.skill, r.status) for r in bonus] == [
-        ("Python", "matched"), ("SQL", "missing"), ("stakeholder management", "missing"), ("LLM", "bonus"),
+        ("First aid", "matched"), ("Night shifts", "missing"), ("Triage", "missing"), ("Phlebotomy", "bonus"),
     ]
 
 
 def test_gap_users_equal_single_gap(spark, trends):
     users = spark.createDataFrame(
-        [("u1", "data analyst", "llm"), ("u1", "data analyst", "Python"), ("u2", "ml engineer", "")],
+        [("u1", "nurse", "phlebotomy"), ("u1", "nurse", "First aid"), ("u2", "baker", "")],
         "user_id string, role_category string, skill string",
     )
     many = T.skill_gap_users(trends, users, top_n=3)
-    one = T.skill_gap(trends, "data analyst", ["llm", "Python"], top_n=3)
+    one = T.skill_gap(trends, "nurse", ["phlebotomy", "First aid"], top_n=3)
     assert sorted(many.where("user_id = 'u1'").drop("user_id").collect()) == sorted(one.collect())
     assert many.where("user_id = 'u2'").count() == 3
 
@@ -171,18 +171,18 @@ def test_build_and_merge(spark):
 
 
 def test_merge_adds(spark):
-    stored = spark.createDataFrame([("Python", "r", API_WEEK, 5, 0.5)], TRENDS)
-    delta = spark.createDataFrame([("Python", "r", API_WEEK, 1, None)], TRENDS)
-    totals = spark.createDataFrame([("r", API_WEEK, 12)], "role_category string, week_start date, total_postings bigint")
+    stored = spark.createDataFrame([("Triage", "r", CURR, 5, 0.5)], TRENDS)
+    delta = spark.createDataFrame([("Triage", "r", CURR, 1, None)], TRENDS)
+    totals = spark.createDataFrame([("r", CURR, 12)], "role_category string, week_start date, total_postings bigint")
     row = W.merge_trends(stored, delta, totals).first()
     assert (row.mention_count, row.pct_of_postings) == (6, 0.5)
 
 
 def test_digest(spark, trends, skill_sets, tmp_path):
-    digest = weekly_digest(*skill_sets, trends, ["data analyst", "ml engineer", "devops"])
+    digest = weekly_digest(*skill_sets, trends, ["nurse", "paramedic", "baker"])
     write_digest(digest, str(tmp_path))
     rising = spark.read.parquet(str(tmp_path / "rising"))
     assert rising.groupBy("role_category").count().where("count > 5").count() == 0
-    assert rising.where("skill = 'LLM'").first().momentum == "strong_up"
+    assert rising.where("skill = 'Wound care'").first().momentum == "strong_up"
     assert spark.read.parquet(str(tmp_path / "pairs")).count() > 0
     assert spark.read.parquet(str(tmp_path / "similar")).count() == 6
