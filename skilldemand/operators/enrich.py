@@ -25,11 +25,13 @@ def enrich(
     chunks: Column | None = None,
     entity_stage: Stage | None = None,
     processed_at: Column | None = None,
+    inline: bool = True,
 ) -> DataFrame:
     """One row per posting with its skills, sentiment, entities and topic, and an error if any.
 
-    With reference tables of a size that can be inlined, the whole enrichment is one
-    pass over the postings without a shuffle. A posting that fails in a Python stage
+    With ``inline`` the whole enrichment is one pass over the postings without a shuffle;
+    a reference table too large for that is refused and needs False, which joins by word
+    and changes no result. A posting that fails in a Python stage
     carries the message in ``error`` and nulls elsewhere; the others are unaffected.
 
     ``topic_stage`` adds a ``topics`` struct to a frame with ``posting_id`` and ``text``,
@@ -42,14 +44,14 @@ def enrich(
     chunks_col = None
     if chunks is not None:
         cleaned, chunks_col = cleaned.withColumn("_chunks", chunks), "_chunks"
-    staged = with_skills(cleaned, vocab, "text", "posting_id", chunks_col)
-    staged = with_sentiment(staged, lexicon, "text", "posting_id")
+    staged = with_skills(cleaned, vocab, "text", "posting_id", chunks_col, inline=inline)
+    staged = with_sentiment(staged, lexicon, "text", "posting_id", inline=inline)
     names = F.transform(F.col("skills"), lambda s: s["skill"])
     staged = staged.withColumn("skills_extracted", names)
     if entity_stage is not None:
         staged = entity_stage(staged)
     elif gazetteer is not None:
-        staged = with_entities(staged, gazetteer, "text", "posting_id")
+        staged = with_entities(staged, gazetteer, "text", "posting_id", inline=inline)
     if gazetteer is None and entity_stage is None:
         staged = staged.withColumn("entities", no_entities())
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skilldemand.functions.dates import week_start
 from skilldemand.functions.numbers import round_exact
 from skilldemand.functions.text import urgency
-from skilldemand.operators.trends import page_envelope
+from skilldemand.operators.trends import check_page, page_envelope
 
 CARD = ["posting_id", "title", "company", "location", "url", "source", "role_category", "scraped_at", "posted_at"]
 
@@ -73,7 +73,7 @@ def stats(
 def _attach(page: DataFrame, processed: DataFrame) -> DataFrame:
     """Enrichment of a bounded page of postings.
 
-    The page is at most its size in rows, so it can be broadcast and the enrichment
+    The page has at most ``MAX_PAGE_SIZE`` rows, so it can be broadcast and the enrichment
     table is scanned once without being shuffled.
     """
     fields = ["posting_id", "skills_extracted", "sentiment_score", "topics", "entities"]
@@ -92,6 +92,7 @@ def recent_postings(
 
     A page past the end is empty.
     """
+    check_page(page, page_size)
     chosen = _of_role(postings, role)
     cards = (
         chosen.select(*CARD)
@@ -121,6 +122,7 @@ def recent_by_role(
     processed: DataFrame | None = None,
 ) -> DataFrame:
     """The newest postings of a role; with ``processed``, their enrichment too."""
+    check_page(1, limit)
     order = [F.desc("scraped_at"), F.asc("posting_id")]
     newest = _of_role(postings, role).orderBy(*order).limit(limit)
     return newest if processed is None else _attach(newest, processed).orderBy(*order)

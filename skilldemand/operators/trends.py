@@ -81,6 +81,7 @@ def trending_page(
 
     The rows are counted first, since the page asked for depends on their number.
     """
+    check_page(page, page_size)
     rows = _unsorted_trending(trends, role)
     total = rows.count()
     pages = max(1, math.ceil(total / page_size))
@@ -89,6 +90,14 @@ def trending_page(
     return data, page_envelope(trends.sparkSession, page, page_size, total)
 
 
+MAX_PAGE_SIZE = 100  # fixed value: the most rows of a page
+
+
+def check_page(page: int, page_size: int) -> None:
+    if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page must be 1 or more, page_size 1 to {MAX_PAGE_SIZE}: {page}, {page_size}")
+
+
 def page_envelope(spark, page: int, page_size: int, total: int) -> DataFrame:
     pages = max(1, math.ceil(total / page_size))
     return spark.createDataFrame(

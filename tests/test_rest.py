@@ -75,6 +75,11 @@ def test_pages(small):
     third = P.recent_postings(postings, processed, None, 2, 2)[0].first()
     assert (third.skills, third.topics, third.sentiment_score) == ([], None, None)
     assert P.recent_by_role(postings, "nurse", 1).count() == 1
+    for page, size in ((0, 2), (1, 0), (1, 101)):
+        with pytest.raises(ValueError):
+            P.recent_postings(postings, processed, None, page, size)
+    with pytest.raises(ValueError):
+        P.recent_by_role(postings, "nurse", 101)
     assert P.posting_detail(postings, processed, "p2").first().sentiment_score == -0.2
     assert P.posting_detail(postings, processed, "9").count() == 0
     assert [r.posting_id for r in P.unprocessed(postings, processed, 5).collect()] == ["p3"]
@@ -126,6 +131,16 @@ def raw(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "posting_id bigint, raw_text string")
 
 
+def test_enrich_inlined_equals_joined(spark, vocab):
+    gazetteer = spark.createDataFrame([("Python", "PRODUCT"), ("SQL", "ORG")], "name string, label string")
+    twice = raw(spark).union(raw(spark).select(F.lit(0), "raw_text"))
+    one, two = (
+        N.enrich(twice, vocab, lexicon(spark), gazetteer, processed_at=F.lit(AT), inline=inline).collect()
+        for inline in (True, False)
+    )
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 2 * len(TEXTS)
+
+
 def test_enrich_isolates_errors_and_does_not_shuffle(spark, vocab, tmp_path):
     gazetteer = spark.createDataFrame([("SQL", "PRODUCT")], "name string, label string")
     done = N.enrich(raw(spark), vocab, lexicon(spark), gazetteer)
