@@ -3,6 +3,8 @@
 A document's set holds its distinct five-word shingles. Two sets with a Jaccard
 similarity of at least t must share one of the first ``n - ceil(t n) + 1`` shingles of
 either set in any fixed order of all shingles, so documents meet by an equi-join on those.
+The smaller set has their first common shingle earlier still, among ``n - ceil(2t/(1+t) n) + 1``;
+buckets in which no set has the shingle so early are left out.
 The order puts the shingles that most documents have last.
 
 Documents that meet on a shingle form a bucket. First every document of a bucket is held
@@ -17,6 +19,7 @@ shingle arrays. Pairs already in one component need no check.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,15 +253,31 @@ def tile_pairs(one: dict, two: dict | None, percent: int) -> tuple[np.ndarray, n
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def open_pairs(members: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+def with_partners(members: DataFrame, percent: int) -> DataFrame:
+    """The members whose bucket holds another component at a size that may be similar.
+
+    Sizes fall into bands as wide as the similarity allows, so a partner is in the same
+    band or in one beside it. Only the extreme components of bands meet.
+    """
+    wide = math.log(100 / percent) + 1e-9  # a little more, for rounding
+    banded = members.withColumn("band", F.floor(F.log("n") / F.lit(wide)))
+    bands = banded.groupBy("bucket", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    beside = F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band")
+    mixed = bands.select("bucket", beside, "lo", "hi").groupBy("bucket", "band")
+    mixed = mixed.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    return banded.join(mixed, ["bucket", "band"], "left_semi").drop("band")
+
+
+def open_pairs(members: DataFrame, bits: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """Pairs of different components in a bucket that sizes and bitmaps leave open.
 
-    ``members``: bucket, doc_id, n, bits, comp. The members of a bucket are ranked by
-    size and cut into tiles; every two tiles of a bucket whose sizes allow the similarity
-    are one group of at most two tiles of rows.
+    ``members``: bucket, doc_id, n, comp; ``bits``: doc_id, bits. The members of a bucket
+    are ranked by size and cut into tiles; every two tiles of a bucket whose sizes allow
+    the similarity are one group of at most two tiles of rows, and only there bitmaps come in.
     """
     by_size = Window.partitionBy("bucket").orderBy("n", "doc_id")
     tiled = members.withColumn("t", F.floor((F.row_number().over(by_size) - 1) / F.lit(tile)))
+    tiled = stage(tiled, "jaccard-tiles")
     ranges = tiled.groupBy("bucket", "t").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = ranges.alias("x"), ranges.alias("y")
     meet = left.join(right, "bucket").where(
@@ -266,7 +285,7 @@ def open_pairs(members: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     )
     meet = meet.select("bucket", F.col("x.t").alias("t1"), F.col("y.t").alias("t2"))
     sides = meet.select("bucket", "t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("t"))
-    work = sides.join(tiled, ["bucket", "t"])
+    work = sides.join(tiled, ["bucket", "t"]).join(bits, "doc_id")
 
     def compare(key, group):
         def part(t):
@@ -313,12 +332,15 @@ def ngram_jaccard_components(
     per_bucket = Window.partitionBy("s")
     met = (
         known.where("prefix is not null")
-        .select(F.explode("prefix").alias("s"), "doc_id", "n")
+        .select(F.posexplode("prefix").alias("at", "s"), "doc_id", "n")
+        # the smaller set of a pair has their first common shingle this early
+        .select("s", "doc_id", "n", F.expr(f"at <= n * {100 - percent} div {100 + percent}").alias("early"))
         .withColumn("hub", F.min(F.struct("doc_id", "n")).over(per_bucket))
         .withColumn("last", F.max("doc_id").over(per_bucket))
         # buckets of the same members are one bucket
         .withColumn("members", F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).over(per_bucket))
-        .where("hub.doc_id <> last")
+        .withColumn("some_early", F.max("early").over(per_bucket))
+        .where("hub.doc_id <> last and some_early")
         .select("s", "doc_id", "n", "members", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
     met = stage(met, "jaccard-met")
@@ -339,8 +361,8 @@ def ngram_jaccard_components(
     )
     mixed = mixed.where("lo <> hi").select("s")
     members = labelled.join(mixed, "s", "left_semi").select(F.col("s").alias("bucket"), "doc_id", "n", "comp")
-    members = stage(members, "jaccard-members")
-    rest = stage(open_pairs(members.join(bits.drop("n"), "doc_id"), percent, tile), "jaccard-open")
+    members = with_partners(stage(members, "jaccard-members"), percent)
+    rest = stage(open_pairs(members, bits.drop("n"), percent, tile), "jaccard-open")
     if not rest.isEmpty():
         more = verify(rest, docs, width, percent)
         links = stage(links.unionByName(more), "jaccard-links")
