@@ -1,8 +1,9 @@
 """Temperature mixing of sources, realised as budgeted block permutations.
 
 A source with token share p gets the weight p ** a / sum(p ** a). The exponent a is the
-smallest step of 1/4096 at which the weights' entropy is at most a target and no source
-repeats more often than a limit; both fall as a grows, so it is found by sections.
+smallest step of 1/4096 from 0 to 1 at which the weights' entropy is at most a target and
+no source repeats more often than a limit; both fall as a grows, so it is found by sections.
+Sources that are more even than the target as they are keep their natural shares (a is 1).
 
 A source's budget is its weight times the budget of all. It is spent on whole passes over
 the source and then on the beginning of one more pass. A pass visits the source's blocks
@@ -12,6 +13,8 @@ ends is found from running sums over blocks, then over the rows of a block.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +22,7 @@ from pyspark.sql.window import Window
 from skilldemand.llm.common import stage
 from skilldemand.llm.ranking import PER_RANGE, digest_fraction, group_name, range_count, seeded_digest
 
-STEPS = 4096  # steps of the exponent in a unit
-HIGHEST = 8 * STEPS
+STEPS = 4096  # steps of the exponent from 0 to 1
 SECTIONS = 32
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -33,12 +35,22 @@ def word_count(text: Column) -> Column:
 def smallest_exponent(
     sources: DataFrame, total: int, budget: int, entropy_ratio: float | None, max_repeats: float | None
 ) -> float:
-    """The smallest exponent that keeps both limits, or the highest one if none does.
+    """The smallest exponent from 0 to 1 that keeps both limits, or 1 if none does.
 
-    ``sources`` has one row per source with its ``tokens`` (more than 0).
+    ``sources`` has one row per source with its ``tokens`` (more than 0). Tempering only
+    evens out, so at 1 the natural shares stay as they are, however even. There every
+    source repeats ``budget / total`` times; a limit below that can't be kept by any
+    mixture of the budget, and a warning says so.
     """
+    if max_repeats is not None and budget / total > max_repeats + 1e-9:
+        warnings.warn(
+            f"{budget} of {total} words repeat every source {budget / total:.6g} times at the least, "
+            f"over the limit of {max_repeats}: natural shares are taken",
+            stacklevel=2,
+        )
+        return 1.0
     share = F.col("tokens") / F.lit(float(total))
-    low, high = 0, HIGHEST  # the answer is in (low - 1, high]
+    low, high = 0, STEPS  # the answer is in (low - 1, high]
     while low < high:
         width = max(1, -(-(high - low) // SECTIONS))
         tried = list(range(low, high, width))
@@ -57,8 +69,7 @@ def smallest_exponent(
             good &= entropy <= F.lit(entropy_ratio) * F.log("n") + F.lit(1e-12)
         if max_repeats is not None:
             repeats = F.col("ratio") / F.col("z") * F.lit(budget / total)
-            # beyond 1 the largest sources repeat more as a grows: the target alone counts
-            good &= (repeats <= F.lit(max_repeats + 1e-9)) | (F.col("t") >= STEPS)
+            good &= repeats <= F.lit(max_repeats + 1e-9)
         met = {r.t for r in facts.where(good).select("t").collect()}
         first = next((t for t in tried if t in met), None)
         if first is None:
@@ -84,8 +95,10 @@ def temperature_mixture(
     ``budget`` is the number of words in all, by default that of ``df``. ``epoch`` counts a
     source's passes from 0; a pass's order is by ``visit`` of its blocks (see
     ``block_visit``). The row on which the last pass reaches its budget is its last.
-    ``entropy_ratio`` is the target as a share of the entropy of even weights. Null
-    sources are a source of their own; a source without words has no weight and is left
+    ``entropy_ratio`` is the target as a share of the entropy of even weights; sources that
+    are more even than that keep their shares, so the budget of ``df`` takes every row with
+    words once. ``max_repeats`` goes before the target. A budget that breaks it at every
+    exponent is spent by natural shares, with a warning. Null sources are a source of their own; a source without words has no weight and is left
     out; rows without words cost nothing and go with their block. Rows equal in key, source
     and text may change places. Columns named like the added ones are refused. An empty
     table, or one without words, gives no rows.

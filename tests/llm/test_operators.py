@@ -131,6 +131,19 @@ def test_mixture_keeps_budget_and_limit(docs, none, spark):
     assert temperature_mixture(docs).count() > 0
 
 
+def test_even_sources_keep_their_shares(spark):
+    rows = spark.range(1000).selectExpr("id doc_id", "if(id < 550, 'a', 'b') source", "'three small words' text")
+    for ratio in (0.95, 0.5):  # the natural entropy is 0.993
+        got = temperature_mixture(rows, entropy_ratio=ratio, per_block=100).collect()
+        assert Counter(r.doc_id for r in got) == Counter(range(1000))
+    skewed = spark.range(1000).selectExpr("id doc_id", "if(id < 990, 'a', 'b') source", "'three small words' text")
+    got = temperature_mixture(skewed, entropy_ratio=0.95, max_repeats=1.0, per_block=100).collect()
+    assert Counter(r.doc_id for r in got) == Counter(range(1000))
+    with pytest.warns(UserWarning, match="over the limit"):
+        got = temperature_mixture(skewed, budget=9000, max_repeats=2.0, per_block=100).collect()
+    assert Counter(r.doc_id for r in got) == Counter({i: 3 for i in range(1000)})
+
+
 def test_classifiers_on_odd_rows(docs, none, labels):
     for function in (nn_pu_scores, quality_scores):
         for marks in (labels, labels.limit(0)):
