@@ -30,8 +30,13 @@ TAIL = 1e-9  # share of a normal group beyond the cut-off
 SALTS = 16
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VECTOR = ["x_words", "x_length", "x_symbols", "x_dup_lines", "x_repeats", "x_upper", "x_marks"]
-# Least deviation of each statistic: groups in which it hardly varies stay regular.
-FLOOR = [0.5, 0.5, 0.12, 0.12, 0.12, 0.12, 0.12]
+# Least deviation of each statistic: keeps the matrix regular where most of a group's texts
+# have none of a thing (symbols, repeated lines and words), so that it does not vary at all.
+FLOOR = [0.02] * 7
+# Counts of a short text say little: so much plain text is added to each before shares are
+# taken, and shares far below the unit weigh little on the logarithmic scale.
+ADDED_CHARS, ADDED_WORDS, ADDED_LINES = 200, 40, 20
+UNIT = {"n_symbols": 0.05, "n_dup_lines": 1.0, "n_repeat_words": 1.0, "n_upper": 0.05, "n_marks": 0.05}
 BINS = 16  # bins of distance in an octave
 
 
@@ -100,18 +105,16 @@ def measure_texts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def vector_columns() -> dict[str, Column]:
-    """The transformed statistics; ratios as square roots, which evens out their spread."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    chars = F.greatest(F.col("word_chars"), F.lit(1))
-    root = lambda a, b: F.sqrt(F.col(a) / b)
+    """The transformed statistics: logarithms of counts and of shares in a text with some plain text added."""
+    share = lambda a, b, added: F.log1p(F.col(a) / (F.col(b) + added) / F.lit(UNIT[a]))
     return {
         "x_words": F.log1p("n_words"),
-        "x_length": F.col("word_chars") / words,
-        "x_symbols": root("n_symbols", chars),
-        "x_dup_lines": root("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))),
-        "x_repeats": root("n_repeat_words", words),
-        "x_upper": root("n_upper", chars),
-        "x_marks": root("n_marks", chars),
+        "x_length": F.log((F.col("word_chars") + ADDED_CHARS) / (F.col("n_words") + ADDED_WORDS)),
+        "x_symbols": share("n_symbols", "word_chars", ADDED_CHARS),
+        "x_dup_lines": share("n_dup_lines", "n_lines", ADDED_LINES),
+        "x_repeats": share("n_repeat_words", "n_words", ADDED_WORDS),
+        "x_upper": share("n_upper", "word_chars", ADDED_CHARS),
+        "x_marks": share("n_marks", "word_chars", ADDED_CHARS),
     }
 
 

@@ -215,6 +215,20 @@ def test_outliers(spark, docs, none):
     assert not got.pop(900) and all(got.values())
 
 
+def test_outliers_of_one_statistic(spark):
+    plain = lambda i, n: " ".join(f"word{(i * 31 + j * j) % 4001}" for j in range(n))
+    lines = lambda i, n: "\n".join(plain(i * 50 + k, 8) for k in range(n))
+    good = [(i, lines(i, 12 + i % 9)) for i in range(200)]
+    good += [(300, lines(300, 15) + "\nword1 word2\nword1 word2"), (301, lines(301, 15) + " #")]
+    symbols = " ".join(w[:4] + "##" if j % 5 else w for j, w in enumerate(plain(7, 120).split()))
+    copies = "\n".join("see\nsee\nsee\n" + plain(400 + k, 4) for k in range(15))
+    bad = [(900, symbols), (901, copies), (902, lines(9, 15).upper())]
+    rows = [(i, t, "en", "s") for i, t in good + bad]
+    got = {r.doc_id: r for r in outlier_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got[i].kept for i in (900, 901, 902)] == [got[i].base_failed for i in (900, 901, 902)] == [False] * 3
+    assert all(got[i].kept for i, _ in good)
+
+
 def test_decontamination(spark, docs, none):
     item = "q0 q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13 q14 q15 q16 q17 q18 q19"
     items = spark.createDataFrame([(1, item), (2, item), (3, "tiny item"), (4, None), (None, item), (5, "")], "item_id long, text string")
