@@ -93,16 +93,17 @@ def describe_sets(docs: DataFrame, width: int, percent: int, common: np.ndarray)
     schema = "doc_id long, n long, name binary, bits binary, prefix array<long>"
 
     def describe(batches):
-        told = set()  # names whose prefix this task has given out
+        told = set()  # names whose prefix this task has given out, under an id
         for batch in batches:
             ids = batch.column(0)
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
             for low, bounds, code in shingle_sets(batch.column(1), width):
                 late = np.zeros(len(code), bool)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, code), len(common) - 1)
                     late = common[at] == code
                 names, bits, prefixes = [], [], []
-                for a, b in zip(bounds[:-1], bounds[1:]):
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]), low):
                     own = code[a:b]
                     if a == b:
                         names.append(None), bits.append(None), prefixes.append(None)
@@ -110,7 +111,7 @@ def describe_sets(docs: DataFrame, width: int, percent: int, common: np.ndarray)
                     name = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     names.append(name)
                     bits.append(parity_bits(own))
-                    if name in told:
+                    if name in told or not named[i]:
                         prefixes.append(None)
                         continue
                     told.add(name)
@@ -317,11 +318,41 @@ def ngram_jaccard_components(
     Words are runs of bytes other than white space, A-Z in lower case. A null, empty or
     blank text has no shingles and is linked with nothing; a text with fewer words than
     ``width`` has its whole sequence as its only shingle. ``component_id`` is the smallest
-    id reachable by links. Rows that repeat an id are each returned; their sets are joined
-    under that id. A null id is returned as its own component (null). Empty table, no rows.
-    Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
+    id reachable by links. Rows that repeat an id are each returned; what any of their texts
+    is linked with is linked under that id. A null id is returned as its own component
+    (null). Empty table, no rows. Shingles are told apart by 64-bit hashes, sets by 128-bit
+    ones, different texts of one id by a 64-bit name that takes the id's place.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    name = F.xxhash64("doc_id", F.sha2("text", 256))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+    several = stage(several.where("lo <> hi").select("doc_id", F.lit(True).alias("more")), "jaccard-several")
+    if several.isEmpty():
+        return set_components(docs, width, percent, tile)
+    # every text of such an id is a document of its own, then the id's components are one
+    key = F.when(F.col("more"), name).otherwise(F.col("doc_id"))
+    keyed = stage(docs.join(several, "doc_id", "left").select(key.alias("key"), "doc_id", "text"), "jaccard-keyed")
+    found = set_components(keyed.select(F.col("key").alias("doc_id"), "text"), width, percent, tile)
+    # copies of a text under a key are the same in all columns
+    found = found.where("doc_id is not null").withColumnRenamed("doc_id", "key").dropDuplicates(["key"])
+    rows = stage(keyed.select("key", "doc_id").join(found, "key", "left"), "jaccard-rows")
+    owned = rows.join(several, "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    first = owned.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    again = owned.join(first, "doc_id").where("component_id <> a").select("a", F.col("component_id").alias("b"))
+    merged = stage(connected_components(stage(again.distinct(), "jaccard-again")), "jaccard-merged")
+    rows = rows.join(merged, rows.component_id == merged.id, "left")
+    rows = rows.withColumn("whole", F.coalesce("component", "component_id"))
+    smallest = rows.where("doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("smallest"))
+    known = rows.where("doc_id is not null").join(smallest, "whole")
+    known = known.select("doc_id", "n_shingles", F.col("smallest").alias("component_id"))
+    # rows without an id are in no component
+    sets = describe_sets(docs.where("doc_id is null"), width, percent, np.zeros(0, np.uint64))
+    none = sets.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return known.unionByName(none)
+
+
+def set_components(docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
+    """The same for documents whose rows have one text for each id."""
     common = common_shingles(docs, width)
     sets = stage(describe_sets(docs, width, percent, common), "jaccard")
     known = sets.where("doc_id is not null and n > 0")

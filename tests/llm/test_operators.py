@@ -270,3 +270,16 @@ def test_jaccard_components_against_all_pairs(spark, docs, none):
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id])
     assert ngram_jaccard_components(none).count() == 0
+
+
+def test_jaccard_links_beside_null_and_repeated_ids(spark):
+    text = lambda k, n, own="": " ".join(f"r{k}_{i}" for i in range(n)) + own
+    rows = [
+        (None, text(1, 60)), (5, text(1, 60)), (6, text(1, 60, " near")),  # the row without an id comes first
+        (9, text(2, 40)), (9, text(3, 200)), (10, text(2, 40, " near")), (8, text(3, 200, " near")), (11, text(4, 50)),
+    ]
+    for last in (3, len(rows)):
+        all_ = spark.createDataFrame(rows[:last], "doc_id long, text string").coalesce(1)
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_components(all_).collect())
+        want = [(None, 56, None), (5, 56, 5), (6, 57, 5), (9, 36, 8), (9, 196, 8), (10, 37, 8), (8, 197, 8), (11, 46, 11)]
+        assert got == Counter(want[:last])
