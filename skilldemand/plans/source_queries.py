@@ -274,7 +274,7 @@ def c14(spark, sf):
     """Topics of the documents' texts, from a model that is saved and loaded again."""
     docs = A.document_postings(spark, sf).withColumnRenamed("raw_text", "text")
     path = scratch_dir(spark, "topics")
-    M.fit_topics(docs, 5, path=path, max_iter=3)
+    M.fit_topics(docs, 5, path=path)
     model = M.get_or_fit(spark, path, docs, 5)
     return M.assign_topics(docs, model, min_probability=0.3).select("posting_id", "topics.*")
 
@@ -321,7 +321,7 @@ def c16(spark, sf):
 @query("c17_sweep_topics")
 def c17(spark, sf):
     docs = A.document_postings(spark, sf).withColumnRenamed("raw_text", "text")
-    return M.sweep_topics(docs, (2, 3), max_iter=2)
+    return M.sweep_topics(docs)
 
 
 # Streams

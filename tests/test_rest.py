@@ -196,6 +196,15 @@ def test_topics(spark, tmp_path):
     assert {r.word for r in words if r.topic_id == 1} <= {"docker", "helm", "cluster", "docker helm", "helm cluster"}
 
 
+def test_no_term_is_left_out(spark):
+    words = [[f"w{i}x{j}" for j in range(2500)] for i in range(60)]  # 300,000 words and pairs
+    schema = "posting_id bigint, text string"
+    model = M.fit_topics(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], schema), 2, max_iter=1)
+    single = [(i, w) for i, w in enumerate(w for ws in words for w in ws[::100])]
+    probes = spark.createDataFrame([*single, (-1, "")], schema)
+    assert M.assign_topics(probes, model).where("topics.topic_id = -1").select("posting_id").collect() == [(-1,)]
+
+
 def test_features(spark):
     df = spark.createDataFrame([(1, "The data data team a")], "posting_id int, text string")
     got = {r.term: r.tf for r in M.topic_features(df).collect()}
