@@ -5,7 +5,8 @@ although the tokens at the ignored positions differ. Every window of the benchma
 hashed under every mask into an index. The documents' windows are hashed in the same way;
 a bit table of fixed size that holds the index's hashes lets most of them go before the
 join. Where hashes meet, document and item are laid over each other at that shift, and the
-best stretch of the overlap decides, substitutions included.
+best stretch of the overlap decides, substitutions included; where it does not suffice, the
+one with the most agreeing tokens among all stretches that reach the share.
 """
 
 from __future__ import annotations
@@ -115,6 +116,19 @@ def best_stretch(agree: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(agree[start:end].sum())
 
 
+def fullest_stretch(agree: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """Start, end and agreeing tokens of the stretch that has the most of all that reach the share."""
+    same = np.concatenate([[0], np.cumsum(agree)])
+    over = same - min_share * np.arange(len(same))  # does not fall over a stretch that reaches it
+    lowest = np.minimum.accumulate(over)
+    starts = np.searchsorted(-lowest, -over - 1e-9)  # the earliest for each end
+    end = int(np.argmax(same - same[starts]))
+    start = int(starts[end])
+    while start < end and not agree[start]:
+        start += 1
+    return start, end, int(same[end] - same[start])
+
+
 def overlap_of(doc: np.ndarray, item: np.ndarray, shift: int, min_tokens: int, min_share: float):
     """The decisive stretch where ``doc[i + shift]`` faces ``item[i]``, or None.
 
@@ -123,8 +137,12 @@ def overlap_of(doc: np.ndarray, item: np.ndarray, shift: int, min_tokens: int, m
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     if high <= low:
         return None
-    start, end, same = best_stretch(doc[low + shift : high + shift] == item[low:high])
-    if same < min(min_tokens, len(item)) or same < min_share * (end - start):
+    agree = doc[low + shift : high + shift] == item[low:high]
+    start, end, same = best_stretch(agree)
+    if same < min(min_tokens, len(item)) or same < min_share * (end - start) - 1e-9:
+        # another stretch may do, inside this one or apart from it
+        start, end, same = fullest_stretch(agree, min_share)
+    if same < min(min_tokens, len(item)) or same < min_share * (end - start) - 1e-9:
         return None
     return low + shift + start, end - start, same
 

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from skilldemand.llm.lsa_vote import quality_scores
 from skilldemand.llm.nnpu import nn_pu_scores
 from skilldemand.llm.outliers import outlier_verdicts
 from skilldemand.llm.ppm import Trie, adaptive_scores, ppm_scores
-from skilldemand.llm.spaced_seeds import contaminated
+from skilldemand.llm.spaced_seeds import contaminated, fullest_stretch, overlap_of
 from skilldemand.llm.temperature import temperature_mixture
 from skilldemand.llm.url_trees import url_verdicts
 
@@ -283,3 +284,17 @@ def test_jaccard_links_beside_null_and_repeated_ids(spark):
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_components(all_).collect())
         want = [(None, 56, None), (5, 56, 5), (6, 57, 5), (9, 36, 8), (9, 196, 8), (10, 37, 8), (8, 197, 8), (11, 46, 11)]
         assert got == Counter(want[:last])
+
+
+def test_more_overlap_loses_no_passage():
+    item = np.arange(59)
+    doc = item.copy()
+    doc[[i for i in range(14, 59) if (i - 14) % 7 in (0, 3)]] = -1  # 5 of 7 agree after 14 tokens
+    start, length, same = overlap_of(doc, item, 0, 13, 0.8)
+    assert start == 0 and same >= 14 and same >= 0.8 * length
+    rng = np.random.default_rng(3)
+    for n in rng.integers(1, 40, 200):
+        agree = rng.random(n) < 0.7
+        fits = [agree[a:b].sum() for a in range(n) for b in range(a + 1, n + 1) if 5 * agree[a:b].sum() >= 4 * (b - a)]
+        start, end, same = fullest_stretch(agree, 0.8)
+        assert same == max(fits, default=0) == agree[start:end].sum() and 5 * same >= 4 * (end - start)
