@@ -24,7 +24,7 @@ def record_hashes(records: DataFrame, content: list[str]) -> DataFrame:
     """``file, offset, digest, copies``: one row per place, from the bytes of ``content``.
 
     Nulls in a column differ from empty values. Rows that share a place are one entry
-    whose digest is the exclusive or of theirs, with their number. A null file or offset
+    whose digest is the sum of theirs, word by word, with their number. A null file or offset
     is a place of its own.
     """
     parts = [F.coalesce(F.concat(F.lit("="), F.base64(F.col(c).cast("binary"))), F.lit("null")) for c in content]
@@ -42,11 +42,12 @@ def words_of(digest: Column) -> list[Column]:
 def combined(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One digest for the rows of a key, whatever their order and number, and that number.
 
-    Exclusive or adds up before the shuffle, so a key may have any number of rows.
+    Sums add up before the shuffle, so a key may have up to 2 ** 31 rows. Equal rows do not
+    cancel out in them.
     """
-    sums = [F.bit_xor(w).alias(f"w{i}") for i, w in enumerate(words_of(F.col("digest")))]
+    sums = [F.sum(w).alias(f"w{i}") for i, w in enumerate(words_of(F.col("digest")))]
     out = rows.groupBy(*keys).agg(F.count("*").alias("copies"), *sums)
-    text = F.concat_ws("", *[F.lpad(F.lower(F.hex(f"w{i}")), 8, "0") for i in range(8)])
+    text = F.concat_ws("", *[F.lpad(F.lower(F.hex(f"w{i}")), 16, "0") for i in range(8)])
     return out.select(*keys, text.alias("digest"), "copies")
 
 

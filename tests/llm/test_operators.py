@@ -104,6 +104,13 @@ def test_fixity_finds_the_damage(spark, none):
     assert fixity_audit(one.limit(0), one.limit(0), ["body"]).count() == 0
 
 
+def test_fixity_finds_twins_damaged_alike(spark):
+    one = spark.createDataFrame([("f", 1, "twin"), ("f", 1, "twin"), ("f", 2, "x")], "file string, offset long, body string")
+    two = spark.createDataFrame([("f", 1, "rot"), ("f", 1, "rot"), ("f", 2, "x")], one.schema)
+    found = [(r.file, r.offset, r.state) for r in fixity_audit(one, two, ["body"]).collect()]
+    assert found == [("f", 1, "changed")]
+
+
 def test_shards_are_even_and_match_the_mixture(spark, docs, none):
     rows = spark.range(1000).selectExpr("id doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 7)) source")
     got = interleaved_shards(rows, 8, per_range=50).collect()
