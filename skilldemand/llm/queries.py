@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilldemand.llm.common import fold, read
+from skilldemand.llm.coordinate_pruning import hard_negatives
+from skilldemand.llm.deletion_variants import simhash_components
 from skilldemand.llm.fixity import fixity_audit
 from skilldemand.llm.interleave import interleaved_shards
 from skilldemand.llm.jaccard import ngram_jaccard_components
 from skilldemand.llm.lsa_vote import quality_scores
 from skilldemand.llm.nnpu import nn_pu_scores
 from skilldemand.llm.outliers import BASE, outlier_verdicts
+from skilldemand.llm.phrases import phrase_collocations
 from skilldemand.llm.ppm import ppm_scores
 from skilldemand.llm.spaced_seeds import contaminated
 from skilldemand.llm.temperature import temperature_mixture
@@ -156,6 +159,86 @@ def op10_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
+def op12_coordinate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+OP12_SQL = """
+WITH taking AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM taking a JOIN taking b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_collocations(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), runs AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p
+  FROM runs, range(1, 6) AS t(k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, p, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(p) = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM counts WHERE len(p) >= 2 AND f >= 100
+), held AS (
+  SELECT lang, unnest([p[1:len(p) - s], p[1 + s:]]) AS p, f
+  FROM candidates, range(1, 4) AS t(s) WHERE len(p) - s >= 2
+  UNION ALL
+  SELECT lang, p[2:len(p) - 1], f FROM candidates WHERE len(p) >= 4
+  UNION ALL
+  SELECT lang, unnest([p[2:3], p[3:4], p[2:4]]), f FROM candidates WHERE len(p) = 5
+), kept AS (
+  SELECT c.* FROM candidates c
+  WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.lang = c.lang AND h.p = c.p AND 100 * h.f >= 100 * c.f)
+), cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, n,
+         ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM kept c, range(1, 5) AS t(k), counts x, counts y, totals t2
+  WHERE k < len(c.p) AND x.lang = c.lang AND x.p = c.p[1:k] AND y.lang = c.lang AND y.p = c.p[k + 1:] AND t2.lang = c.lang
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase FROM lowest
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+FROM ranked
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_ppm_scores": op1_ppm_scores,
     "op2_fixity_audit": op2_fixity_audit,
@@ -167,5 +250,13 @@ QUERIES = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_temperature_mixture": op10_temperature_mixture,
+    "op11_deletion_variants": op11_deletion_variants,
+    "op12_coordinate_pruning": op12_coordinate_pruning,
+    "op13_phrase_collocations": op13_phrase_collocations,
+}
+ORACLES = {
+    "op2_fixity_audit": OP2_SQL,
+    "op9_jaccard_join": OP9_SQL,
+    "op12_coordinate_pruning": OP12_SQL,
+    "op13_phrase_collocations": OP13_SQL,
 }
-ORACLES = {"op2_fixity_audit": OP2_SQL, "op9_jaccard_join": OP9_SQL}
