@@ -30,7 +30,7 @@ LONGEST = 5  # words
 MIN_COUNT = 100
 TOP = 2000
 MARK_BITS = 1 << 26  # of the table of frequent words and pairs: 8 MB whatever the texts
-SLICE = 8 << 20
+SLICE = 2 << 20  # bytes of text counted at a time
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values: where a text is cut into pieces
 
 
