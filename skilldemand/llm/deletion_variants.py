@@ -27,6 +27,7 @@ from skilldemand.llm.simhash import SEED, fingerprints
 WIDTH = 3
 DISTANCE = 2  # bits in which linked fingerprints differ at most; the two halves depend on it
 LOW_HALF = 0xFFFFFFFF
+PER_TASK = 20_000  # fingerprints that a task makes variants of
 
 
 def document_fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -118,7 +119,8 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, seed: int = SEED) ->
     """
     rows = stage(document_fingerprints(docs, width, seed), "variants-rows")
     known = rows.where("doc_id is not null")
-    nodes = stage(known.groupBy("fp").agg(F.min("doc_id").alias("id")), "variants-nodes")
+    nodes = known.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    nodes = stage(nodes.repartition(max(1, -(-known.count() // PER_TASK)), "fp"), "variants-nodes")
     # an id with several fingerprints joins them
     several = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     owned = known.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes, "fp")
