@@ -10,10 +10,12 @@ The order puts the shingles that most documents have last.
 Documents that meet on a shingle form a bucket. First every document of a bucket is held
 against the bucket's smallest id alone, which joins most copies and grows with the rows of
 the bucket; a bitmap of each set bounds the overlap before sets are fetched. Then the buckets that still hold more than one component are cut into tiles
-by set size; two tiles meet only if their sizes allow the similarity, a bitmap of each set
+by set size; two tiles meet only if their sizes allow the similarity, and a bitmap of each set
 bounds the overlap from above (each bit in which two parity bitmaps differ is an element
-that only one has), and pairs that the bound leaves are checked by intersecting the sorted
-shingle arrays. Pairs already in one component need no check.
+that only one has). A tile does not return the pairs that the bound leaves open, only which rows
+they connect. Each family of rows so connected then gets its sets once, in tiles again,
+and pairs of different components are checked there by intersecting the sorted shingle
+arrays. A tile returns the links that join components, fewer than its rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ WIDTH = 5
 PERCENT = 75  # similarity of a link
 COMMON = 1 << 16  # shingles that are put last in the order; bounds the broadcast
 SEEN_OFTEN = 8  # a task reports shingles that so many of a slice's documents share
-TILE = 512  # sets in a tile
+TILE = 2048  # bitmaps in a tile, and four times the sets in one
+LOT_BYTES = 1 << 25  # of the rows of one component's buckets that are held together
+FEW = 6  # rows of a bucket that are compared pair by pair
 MAX_BITS = 1 << 14
 ID_BITS = 1 << 26  # of the table of ids whose sets are needed
 
@@ -145,9 +149,9 @@ def id_bits(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough, by intersecting sorted arrays."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
+def fetched_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, code``: the sorted shingle array of each of the ``ids``, written once."""
+    ids = stage(ids, "jaccard-ids")
     packed = id_bits(ids)
 
     def sets(batches):
@@ -164,7 +168,13 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 )
 
     described = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, code array<long>")
-    found = stage(described.join(ids, "doc_id", "left_semi"), "jaccard-sets")
+    # rows that repeat an id have one text
+    return stage(described.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough, by intersecting sorted arrays."""
+    found = fetched_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, width)
     one = found.select(F.col("doc_id").alias("a"), F.col("code").alias("left"))
     two = found.select(F.col("doc_id").alias("b"), F.col("code").alias("right"))
 
@@ -269,46 +279,201 @@ def with_partners(members: DataFrame, percent: int) -> DataFrame:
     return banded.join(mixed, ["bucket", "band"], "left_semi").drop("band")
 
 
-def open_pairs(members: DataFrame, bits: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Pairs of different components in a bucket that sizes and bitmaps leave open.
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels of rows, made equal for rows ``i`` and ``j`` and all that had their labels."""
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        if (label[i] == least).all() and (label[j] == least).all():
+            break
+        # the rows that had either label follow, as labels are numbers of rows
+        np.minimum.at(label, label[i], least)
+        np.minimum.at(label, label[j], least)
+        label = label[label]
+    return label
+
+
+def few_open(n: list, comp: list, bits: list, percent: int) -> tuple[list, list]:
+    """Positions of the open pairs among a few rows."""
+    i, j = [], []
+    for y in range(1, len(n)):
+        for x in range(y):
+            if comp[x] == comp[y] or 100 * min(n[x], n[y]) < percent * max(n[x], n[y]):
+                continue
+            most = (n[x] + n[y] - apart_at_least(bits[x], bits[y])) // 2
+            if (100 + percent) * most >= percent * (n[x] + n[y]):
+                i.append(x)
+                j.append(y)
+    return i, j
+
+
+def open_roots(group: pa.Table, two_tiles: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in some buckets that have an open pair, each with one id that open pairs lead to.
 
-    ``members``: bucket, doc_id, n, comp; ``bits``: doc_id, bits. The members of a bucket
-    are ranked by size and cut into tiles; every two tiles of a bucket whose sizes allow
-    the similarity are one group of at most two tiles of rows, and only there bitmaps come in.
+    ``group``: bucket, t, doc_id, n, comp, bits. As many links as there are ids at most,
+    however many pairs are open. A bucket whose rows are connected already is passed over.
+    """
+    order = pc.sort_indices(group, sort_keys=[("bucket", "ascending"), ("t", "ascending")])
+    group = group.take(order)
+    n, comp, t = (group[c].to_numpy() for c in ("n", "comp", "t"))
+    bits, bucket = group["bits"].to_pylist(), group["bucket"].to_numpy()
+    ids, place = np.unique(group["doc_id"].to_numpy(), return_inverse=True)
+    label = np.arange(len(ids))
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        at = place[low:high]
+        if (label[at] == label[at[0]]).all():
+            continue
+        if high - low <= FEW and not two_tiles:
+            i, j = few_open(n[low:high].tolist(), comp[low:high].tolist(), bits[low:high], percent)
+        else:
+            parts = [(low, high)]
+            if two_tiles:
+                middle = low + int(np.searchsorted(t[low:high], t[high - 1]))
+                parts = [(low, middle), (middle, high)]
+            tiles = [{"n": n[x:y], "comp": comp[x:y], "bits": bits[x:y]} for x, y in parts]
+            i, j = tile_pairs(tiles[0], tiles[1] if two_tiles else None, percent)
+            j = j + (parts[-1][0] - low)
+        label = united(label, at[i], at[j])
+    rows = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[rows]], ids[rows]
+
+
+def tile_units(members: DataFrame, group: str, tile: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``members`` of groups ranked by size ``n`` and cut into tiles ``t``, and the tiles that meet.
+
+    Tiles whose sizes allow the similarity meet, as ``group, t1, t2, t``: a row for each of the
+    two, or one for a tile that meets itself.
     """
-    by_size = Window.partitionBy("bucket").orderBy("n", "doc_id")
-    tiled = members.withColumn("t", F.floor((F.row_number().over(by_size) - 1) / F.lit(tile)))
-    tiled = stage(tiled, "jaccard-tiles")
-    ranges = tiled.groupBy("bucket", "t").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    by_size = Window.partitionBy(group).orderBy("n", "doc_id")
+    tiled = stage(members.withColumn("t", F.floor((F.row_number().over(by_size) - 1) / F.lit(tile))), name)
+    ranges = tiled.groupBy(group, "t").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = ranges.alias("x"), ranges.alias("y")
-    meet = left.join(right, "bucket").where(
+    meet = left.join(right, group).where(
         (F.col("y.t") >= F.col("x.t")) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent)
     )
-    meet = meet.select("bucket", F.col("x.t").alias("t1"), F.col("y.t").alias("t2"))
-    sides = meet.select("bucket", "t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("t"))
-    work = sides.join(tiled, ["bucket", "t"]).join(bits, "doc_id")
+    meet = meet.select(group, F.col("x.t").alias("t1"), F.col("y.t").alias("t2"))
+    return tiled, meet.select(group, "t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("t"))
+
+
+def open_links(members: DataFrame, bits: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Links ``(a, b)`` that connect all pairs of a bucket that sizes and bitmaps leave open.
+
+    ``members``: bucket, doc_id, n, comp; ``bits``: doc_id, bits. Every two tiles of a large
+    bucket whose sizes allow the similarity are one group of at most two tiles of rows, and
+    only there bitmaps come in. Buckets of one tile are dealt into lots of about a tile of
+    rows; those of the same smallest component stay together up to a bounded size, so that a
+    family is not told again by each of its buckets. A link need not be an open pair.
+    """
+    tiled, units = tile_units(members, "bucket", tile, percent, "jaccard-tiles")
+    size = F.lit(64) + F.least(F.col("n") / 4, F.lit(MAX_BITS // 8))
+    facts = tiled.groupBy("bucket").agg(F.max("t").alias("last"), F.sum(size).alias("size"), F.min("comp").alias("least"))
+    earlier = Window.partitionBy("least").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("size").over(earlier), F.lit(0)) / F.lit(LOT_BYTES))
+    lots = max(1, -(-tiled.count() // tile))
+    single = facts.where("last = 0").select("bucket", F.pmod(F.xxhash64("least", part), F.lit(lots)).alias("lot"))
+    work = units.join(single, "bucket", "left").withColumn("whole", F.when(F.col("lot").isNull(), F.col("bucket")))
+    work = work.join(tiled, ["bucket", "t"]).join(bits, "doc_id")
 
     def compare(key, group):
-        def part(t):
-            rows = group.filter(pc.equal(group["t"], t))
-            return {
-                "id": rows["doc_id"].to_numpy(),
-                "n": rows["n"].to_numpy(),
-                "comp": rows["comp"].to_numpy(),
-                "bits": rows["bits"].to_pylist(),
-            }
-
-        t1, t2 = key[1].as_py(), key[2].as_py()
-        one = part(t1)
-        two = None if t1 == t2 else part(t2)
-        i, j = tile_pairs(one, two, percent)
-        a, b = one["id"][i], (two or one)["id"][j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    found = work.groupBy("bucket", "t1", "t2").applyInArrow(compare, "a long, b long")
+        a, b = open_roots(group, key[2].as_py() != key[3].as_py(), percent)
+        return pa.table({"a": a, "b": b})
+
+    found = work.groupBy("lot", "whole", "t1", "t2").applyInArrow(compare, "a long, b long")
     return found.distinct()
 
 
+def parity_matrix(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """Parity bitmaps of ``width`` bits, a row per set."""
+    out = np.zeros((len(sets), width // 8), np.uint8)
+    for row, code in zip(out, sets):
+        bits = np.bincount((code & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        row[:] = np.packbits(bits.astype(np.uint8))
+    return out
+
+
+def similar_links(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Positions of similar pairs, as many as connect the same sets that all of them do.
+
+    ``sets`` are sorted arrays, ascending in size; pairs within a component are known. With
+    ``side``, pairs are those of a set of one side and one of the other. Sizes and bitmaps of
+    twice as many bits as elements, which bound the overlap from above, come before the
+    intersection of two arrays.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    width = 64
+    while width < 2 * n.max(initial=0) and width < MAX_BITS:
+        width *= 2
+    bits = parity_matrix(sets, width)
+    links = []
+    for i in range(len(sets) - 1):
+        last = np.searchsorted(n, n[i] * 100 // percent, side="right")
+        others = np.arange(i + 1, last)
+        if side is not None:
+            others = others[side[others] != side[i]]
+        others = others[comp[others] != comp[i]]
+        if not len(others):
+            continue
+        apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        whole = n[others] + n[i]
+        most = (whole - apart) // 2
+        for j in others[(100 + percent) * most >= percent * whole]:
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a == b:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * shared >= percent * (n[i] + n[j] - shared):
+                parent[max(a, b)] = min(a, b)
+                links.append((i, int(j)))
+    return links
+
+
+def verified_links(open_: DataFrame, known: DataFrame, comps: DataFrame, docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
+    """Links between components from the families that ``open_`` links connect.
+
+    All open pairs lie within families. A family's sets are fetched once, small families
+    share a group, large ones are cut into tiles by size; pairs are verified in the group and
+    at most one link for each of its rows is returned.
+    """
+    families = connected_components(open_).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    label = F.coalesce("component", "doc_id").alias("comp")
+    sizes = known.where("prefix is not null").select("doc_id", "n").dropDuplicates(["doc_id"])
+    rows = families.join(sizes, "doc_id").join(comps, F.col("doc_id") == comps.id, "left")
+    rows = rows.select("doc_id", "family", "n", label)
+    tiled, units = tile_units(rows, "family", tile, percent, "jaccard-families")
+    sets = fetched_sets(tiled.select("doc_id").distinct(), docs, width)
+    # families of one tile are dealt together, about a tile of rows to a group
+    single = units.groupBy("family").agg((F.max("t") == 0).alias("single"))
+    lots = max(1, -(-tiled.count() // tile))
+    lot = F.when(F.col("single"), F.pmod(F.xxhash64("family"), F.lit(lots)))
+    work = units.join(single, "family").join(tiled, ["family", "t"]).join(sets, "doc_id")
+    work = work.withColumn("lot", lot).withColumn("whole", F.when(~F.col("single"), F.col("family")))
+
+    def check(key, group):
+        order = pc.sort_indices(group, sort_keys=[("family", "ascending"), ("n", "ascending"), ("doc_id", "ascending")])
+        group = group.take(order).combine_chunks()
+        ids, comp = group["doc_id"].to_numpy(), group["comp"].to_numpy()
+        family, t = group["family"].to_numpy(), group["t"].to_numpy()
+        lists = group["code"].combine_chunks() if isinstance(group["code"], pa.ChunkedArray) else group["code"]
+        code = [lists[k].values.to_numpy().view(np.uint64) for k in range(len(lists))]
+        cuts = np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1], [True]]))
+        a, b = [], []
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            side = t[low:high] if key[2].as_py() != key[3].as_py() else None
+            for i, j in similar_links(code[low:high], comp[low:high], side, percent):
+                a.append(ids[low + i])
+                b.append(ids[low + j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return work.groupBy("lot", "whole", "t1", "t2").applyInArrow(check, "a long, b long")
+
+
 def ngram_jaccard_components(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, tile: int = TILE
 ) -> DataFrame:
@@ -393,9 +558,9 @@ def set_components(docs: DataFrame, width: int, percent: int, tile: int) -> Data
     mixed = mixed.where("lo <> hi").select("s")
     members = labelled.join(mixed, "s", "left_semi").select(F.col("s").alias("bucket"), "doc_id", "n", "comp")
     members = with_partners(stage(members, "jaccard-members"), percent)
-    rest = stage(open_pairs(members, bits.drop("n"), percent, tile), "jaccard-open")
+    rest = stage(open_links(members, bits.drop("n"), percent, tile), "jaccard-open")
     if not rest.isEmpty():
-        more = verify(rest, docs, width, percent)
+        more = verified_links(rest, known, comps, docs, width, percent, max(tile // 4, 1))
         links = stage(links.unionByName(more), "jaccard-links")
         comps = stage(connected_components(links), "jaccard-comps")
     return sets.join(comps, sets.doc_id == comps.id, "left").select(
