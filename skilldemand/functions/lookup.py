@@ -26,12 +26,40 @@ def literal(value, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
 
 
+MARK_BITS = 1 << 20  # of the literal that tells which words a table may hold
+
+
+def may_hold(table: DataFrame, key: str):
+    """A test whether a word may be a key of the table, from a bit table of a fixed size.
+
+    Words without a row are mostly told apart before they are shuffled; where the table has
+    more keys than bits, fewer are, with the same results.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(MARK_BITS))
+    marks = table.where(F.col(key).isNotNull()).select(
+        F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {MARK_BITS}) & 63L AS int))").alias("bit")
+    )
+    bits = [0] * (MARK_BITS >> 6)
+    for row in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[row["at"]] = row["bits"]
+    held = literal(bits, "array<bigint>")
+
+    def test(word: Column) -> Column:
+        at = F.pmod(F.xxhash64(word), F.lit(MARK_BITS))
+        word_bits = F.get(held, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word_bits, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return test
+
+
 def join_rows(df: DataFrame, table: DataFrame, key: str, keys: Column, content: Column, out: str) -> DataFrame:
     """Add all rows of ``table`` whose ``key`` is among ``keys``, an array of distinct strings.
 
     ``content`` is a string that decides ``keys``. Rows are gathered by a hash of it, not
-    by an id, so repeated and null ids do no harm; null where nothing is found.
+    by an id, so repeated and null ids do no harm; null where nothing is found. Only words
+    that the table may hold are shuffled.
     """
+    keys = F.filter(keys, may_hold(table, key))
     keyed = df.withColumn("_content", F.sha2(content.cast("binary"), 256))
     hits = (
         keyed.select("_content", F.explode(keys).alias(key))
@@ -69,6 +97,11 @@ class InlineTable:
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.hash(key), F.lit(self.buckets))
 
+    def first(self, key: Column) -> Column:
+        """A row of the key, for tables with one row per key; null if there is none."""
+        rows = F.get(literal(self._spread, self._ddl), self._bucket(key))
+        return F.get(F.filter(rows, lambda row: row[self.key] == key), F.lit(0))
+
     def find(self, keys: Column) -> Column:
         """All rows whose key is among ``keys``, an array of distinct strings."""
         table = literal(self._spread, self._ddl)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,8 @@ def enrich(
 
     ``topic_stage`` adds a ``topics`` struct to a frame with ``posting_id`` and ``text``,
     ``entity_stage`` an ``entities`` struct in place of the gazetteer, and ``chunks`` is
-    an array of phrases made from the column ``text``.
+    an array of phrases made from the column ``text``. A stage that adds ``topics_error`` or
+    ``entities_error`` as well, as ``isolate.isolated_stage`` does, reports its failed rows there.
     """
     cleaned = postings.select("posting_id", clean_checked(F.col("raw_text")).alias("_c")).select(
         "posting_id", F.col("_c.text").alias("text"), F.col("_c.error").alias("error")
@@ -49,7 +51,7 @@ def enrich(
     names = F.transform(F.col("skills"), lambda s: s["skill"])
     staged = staged.withColumn("skills_extracted", names)
     if entity_stage is not None:
-        staged = entity_stage(staged)
+        staged = _with_error(entity_stage(staged), "entities")
     elif gazetteer is not None:
         staged = with_entities(staged, gazetteer, "text", "posting_id", inline=inline)
     if gazetteer is None and entity_stage is None:
@@ -61,7 +63,7 @@ def enrich(
     if topic_stage is None:
         staged = staged.withColumn("topics", F.lit(None).cast(TOPIC))
     else:
-        staged = topic_stage(staged)
+        staged = _with_error(topic_stage(staged), "topics")
     fine = F.col("error").isNull()
     return staged.select(
         "posting_id",
@@ -74,16 +76,26 @@ def enrich(
     )
 
 
-def append_processed(enriched: DataFrame, path: str, mode: str = "append") -> None:
-    """Write an enrichment run once; failed rows go to their own partition of the table."""
-    enriched.withColumn("failed", F.col("error").isNotNull()).write.mode(mode).partitionBy(
-        "failed"
-    ).parquet(path)
+def _with_error(staged: DataFrame, out: str) -> DataFrame:
+    """Move the errors of a stage to ``error``, named after the stage; the first one stays."""
+    if f"{out}_error" not in staged.columns:
+        return staged
+    named = F.when(F.col(f"{out}_error").isNotNull(), F.concat(F.lit(f"{out}: "), f"{out}_error"))
+    return staged.withColumn("error", F.coalesce("error", named)).drop(f"{out}_error")
+
+
+def append_processed(enriched: DataFrame, path: str, run: str | None = None) -> None:
+    """Write an enrichment run to its own folder; failed rows go to their own partition of it.
+
+    A run that is repeated under its name replaces what it wrote before.
+    """
+    rows = enriched.withColumn("failed", F.col("error").isNotNull())
+    rows.write.mode("overwrite").partitionBy("failed").parquet(f"{path.rstrip('/')}/run={run or uuid.uuid4().hex}")
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
     """Rows that were enriched; only their partition is read."""
-    return spark.read.parquet(path).where("failed = false").drop("failed", "error")
+    return spark.read.parquet(path).where("failed = false").drop("run", "failed", "error")
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
@@ -91,8 +103,16 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("failed = true").select("posting_id", "error")
 
 
+def written_summary(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """Rows processed and rows failed of what is stored, or of one run of it; no text is parsed again."""
+    rows = spark.read.parquet(path)
+    if run is not None:
+        rows = rows.where(F.col("run").cast("string") == run)
+    return rows.agg(F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("errors"))
+
+
 def run_summary(enriched: DataFrame) -> DataFrame:
-    """Rows processed and rows failed."""
+    """Rows processed and rows failed of a run that is not written."""
     return enriched.agg(
         F.count_if(F.col("error").isNull()).alias("processed"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skilldemand.functions.numbers import f_score, round_exact, safe_ratio
 
 
-def _overlaps(gold: DataFrame, pred: DataFrame, key: str, items: str) -> DataFrame:
+def _overlaps(
+    gold: DataFrame, pred: DataFrame, key: str | list[str], items: str, carry: list[str] | None = None
+) -> DataFrame:
     """True and false positives and false negatives per row; a missing prediction is empty."""
     empty = F.array().cast("array<string>")
-    both = gold.select(key, F.array_distinct(items).alias("_gold")).join(
-        pred.select(key, F.array_distinct(items).alias("_pred")), key, "left"
+    keys = [key] if isinstance(key, str) else key
+    both = gold.select(*keys, *(carry or []), F.array_distinct(items).alias("_gold")).join(
+        pred.select(*keys, F.array_distinct(items).alias("_pred")), keys, "left"
     )
     found = F.coalesce("_pred", empty)
     hits = F.size(F.array_intersect("_gold", found))
     return both.select(
-        key,
+        *keys,
+        *(carry or []),
         hits.alias("tp"),
         (F.size(found) - hits).alias("fp"),
         (F.size("_gold") - hits).alias("fn"),
@@ -58,33 +62,28 @@ def ab_compare(
     gold: DataFrame, preds: dict[str, DataFrame], key: str = "id", items: str = "skills"
 ) -> DataFrame:
     """Macro and micro scores of each extractor, the winner by macro F1 and its margin."""
-    rows = [
-        prf_macro(gold, pred, key, items).select(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("extractor"),
-            "precision",
-            "recall",
-            "f1",
-            *[
-                prf_micro(gold, pred, key, items).select(c).scalar().alias(f"micro_{c}")
-                for c in ("precision", "recall", "f1")
-            ],
-        )
-        for i, (name, pred) in enumerate(preds.items())
-    ]
-    table = reduce(DataFrame.unionByName, rows)
-    best = table.agg(F.max_by("extractor", F.struct("f1", -F.col("position"))).alias("winner"))
-    spread = table.agg(round_exact(F.max("f1") - F.min("f1"), 3).alias("margin"))
-    return table.select(
+    names = [F.struct(F.lit(i).alias("position"), F.lit(name).alias("extractor")) for i, name in enumerate(preds)]
+    tagged = [pred.select(key, items).withColumn("position", F.lit(i)) for i, pred in enumerate(preds.values())]
+    wanted = gold.select(key, items, F.explode(F.array(*names)).alias("_x")).select(key, items, "_x.*")
+    counted = _overlaps(wanted, reduce(DataFrame.unionByName, tagged), [key, "position"], items, ["extractor"])
+    p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    scored = counted.select("*", p.alias("p"), r.alias("r"), f.alias("f"))
+    pooled = scored.groupBy("position", "extractor").agg(
+        *_rounded({"precision": F.avg("p"), "recall": F.avg("r"), "f1": F.avg("f")}),
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
+    )
+    micro = _rounded({"micro_precision": p, "micro_recall": r, "micro_f1": f})
+    # one row per extractor from here on
+    everyone = Window.partitionBy()
+    best = F.max_by("extractor", F.struct("f1", -F.col("position"))).over(everyone)
+    return pooled.select(
         "extractor",
         "precision",
         "recall",
         "f1",
-        "micro_precision",
-        "micro_recall",
-        "micro_f1",
-        (F.col("extractor") == best.scalar()).alias("is_winner"),
-        spread.scalar().alias("f1_margin"),
+        *micro,
+        (F.col("extractor") == best).alias("is_winner"),
+        round_exact(F.max("f1").over(everyone) - F.min("f1").over(everyone), 3).alias("f1_margin"),
     )
 
 

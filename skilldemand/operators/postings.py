@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from skilldemand.functions.dates import week_start
 from skilldemand.functions.numbers import round_exact
+from skilldemand.functions.pages import check_page, envelope, page_rows
 from skilldemand.functions.text import urgency
-from skilldemand.operators.trends import check_page, page_envelope
 
 CARD = ["posting_id", "title", "company", "location", "url", "source", "role_category", "scraped_at", "posted_at"]
 
+MAX_WEEKS = 52  # fixed value: the most weeks of a timeline
+
 
 def _of_role(df: DataFrame, role: str | None) -> DataFrame:
     return df if role is None else df.where(F.col("role_category") == role)
@@ -94,11 +96,9 @@ def recent_postings(
     """
     check_page(page, page_size)
     chosen = _of_role(postings, role)
-    cards = (
-        chosen.select(*CARD)
-        .orderBy(F.desc("scraped_at"), "posting_id")
-        .offset((page - 1) * page_size)
-        .limit(page_size)
+    order = [F.desc("scraped_at"), F.asc("posting_id")]
+    cards = page_rows(
+        chosen.select(*CARD), [(F.date_trunc("minute", "scraped_at"), True)], order, page, page_size
     )
     filled = _attach(cards, processed)
     texts = ["title", "company", "location", "url", "source", "role_category"]
@@ -112,7 +112,7 @@ def recent_postings(
         "topics",
         "entities",
     ).orderBy(F.desc("scraped_at"), "posting_id")
-    return data, page_envelope(postings.sparkSession, page, page_size, chosen.count())
+    return data, envelope(chosen, page, page_size)
 
 
 def recent_by_role(
@@ -142,6 +142,8 @@ def sentiment_timeline(
     The cutoff is taken from the newest posting of any role. Urgency is counted before
     the join, so no text is shuffled.
     """
+    if not 1 <= weeks <= MAX_WEEKS:
+        raise ValueError(f"weeks must be 1 to {MAX_WEEKS}: {weeks}")
     newest = postings.agg(F.max("scraped_at").alias("newest"))
     cutoff = newest.scalar() - F.expr(f"INTERVAL {7 * weeks} DAYS")
     recent = _of_role(postings, role).where(F.col("scraped_at") >= cutoff)

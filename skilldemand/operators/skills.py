@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skilldemand.functions.lookup import InlineTable, join_rows
-from skilldemand.functions.text import explode_once, let, strip
+from skilldemand.functions.text import explode_once, let, ngrams, strip
 from skilldemand.operators.matching import match_terms
 
 # Determiners cut from the front of a phrase.
@@ -49,12 +49,20 @@ def match_vocab(
 def match_chunks(
     postings: DataFrame,
     vocab: DataFrame,
-    chunks_col: str,
+    chunks_col: str | None = None,
     id_col: str = "posting_id",
     inline: bool = True,
+    text_col: str = "raw_text",
 ) -> DataFrame:
-    """(posting, skill, n=1) for each skill that equals one of the posting's phrases."""
-    found = _with_chunk_matches(postings.select(id_col, chunks_col), vocab, chunks_col, inline)
+    """(posting, skill, n=1) for each skill that equals one of the posting's phrases.
+
+    Without a column of phrases, they are all runs of one to four words of the text.
+    """
+    if chunks_col is None:
+        rows, chunks_col = postings.select(id_col, ngrams(F.col(text_col)).alias("_phrases")), "_phrases"
+    else:
+        rows = postings.select(id_col, chunks_col)
+    found = _with_chunk_matches(rows, vocab, chunks_col, inline)
     return explode_once(found, "_chunk_matches", "m", id_col).select(
         id_col, F.col("m.term").alias("skill"), F.lit(1).cast("bigint").alias("n")
     )

@@ -7,7 +7,6 @@ which Spark also applies before the shuffle.
 
 from __future__ import annotations
 
-import math
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +15,11 @@ from pyspark.sql import functions as F
 from skilldemand.functions.bands import match_band, momentum
 from skilldemand.functions.lookup import literal
 from skilldemand.functions.numbers import RISING_ABOVE, growth_pct, round_exact
+from skilldemand.functions.pages import check_page, envelope, page_rows
 
 TREND_KEY = ["skill", "role_category"]
 TIES = ["skill", "role_category"]
+MAX_LOOKBACK = 26  # fixed value: the most weeks that emerging skills look back
 
 
 def latest_week(trends: DataFrame) -> DataFrame:
@@ -77,33 +78,13 @@ def trending(trends: DataFrame, role: str | None = None) -> DataFrame:
 def trending_page(
     trends: DataFrame, role: str | None = None, page: int = 1, page_size: int = 15
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of ``trending`` and its envelope; a page past the end becomes the last one.
-
-    The rows are counted first, since the page asked for depends on their number.
-    """
+    """One page of ``trending`` and its envelope; a page past the end becomes the last one."""
     check_page(page, page_size)
     rows = _unsorted_trending(trends, role)
-    total = rows.count()
-    pages = max(1, math.ceil(total / page_size))
-    page = min(page, pages)
-    data = rows.orderBy(*_by_demand()).offset((page - 1) * page_size).limit(page_size)
-    return data, page_envelope(trends.sparkSession, page, page_size, total)
-
-
-MAX_PAGE_SIZE = 100  # fixed value: the most rows of a page
-
-
-def check_page(page: int, page_size: int) -> None:
-    if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
-        raise ValueError(f"page must be 1 or more, page_size 1 to {MAX_PAGE_SIZE}: {page}, {page_size}")
-
-
-def page_envelope(spark, page: int, page_size: int, total: int) -> DataFrame:
-    pages = max(1, math.ceil(total / page_size))
-    return spark.createDataFrame(
-        [(page, page_size, total, pages, page < pages, page > 1)],
-        "page int, page_size int, total_count bigint, total_pages int, has_next boolean, has_prev boolean",
-    )
+    # the order by demand, with the beginning of the skill to part equal counts
+    ranges = [(F.col("mention_count"), True), (F.substring("skill", 1, 2), False)]
+    data = page_rows(rows, ranges, _by_demand(), page, page_size, last_if_past=True).orderBy(*_by_demand())
+    return data, envelope(rows, page, page_size, last_if_past=True)
 
 
 def wow_change(trends: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -139,9 +120,11 @@ def wow_change(trends: DataFrame, keys: DataFrame | None = None) -> DataFrame:
 
 def rising_skills(trends: DataFrame, role: str | None = None, top_n: int = 10) -> DataFrame:
     """Per role, the skills of the role's own latest week with the largest change."""
-    changes = wow_change(_of_role(trends, role))
-    role_latest = _of_role(trends, role).groupBy("role_category").agg(F.max("week_start").alias("current_week"))
-    present = changes.join(role_latest, ["role_category", "current_week"], "left_semi")
+    rows = _of_role(trends, role)
+    role_latest = rows.groupBy("role_category").agg(F.max("week_start").alias("week_start"))
+    # only skills of that week are ranked over their history
+    keys = rows.join(role_latest, ["role_category", "week_start"], "left_semi").select(*TREND_KEY).distinct()
+    present = wow_change(rows.join(keys, TREND_KEY, "left_semi"))
     order = Window.partitionBy("role_category").orderBy(F.desc("change_pct"), F.asc("skill"))
     return (
         present.withColumn("rank", F.row_number().over(order))
@@ -339,6 +322,8 @@ def emerging(
     The share filter looks at the largest share since ``lookback_weeks`` before; growth
     compares with the row of exactly that week.
     """
+    if not 1 <= lookback_weeks <= MAX_LOOKBACK:
+        raise ValueError(f"lookback_weeks must be 1 to {MAX_LOOKBACK}: {lookback_weeks}")
     latest = _latest(trends)
     start = F.date_sub(latest, 7 * lookback_weeks)
     is_current = F.col("week_start") == latest
@@ -516,19 +501,38 @@ def skill_gap_users(trends: DataFrame, users: DataFrame, top_n: int = 30) -> Dat
         F.lower(F.trim("role_category")).alias("role_category"),
         F.lower(F.trim("skill")).alias("key"),
     )
+    # one row per user and role; collect_set leaves null keys out
+    owned = wanted.groupBy("user_id", "role_category").agg(F.collect_set(F.when(F.col("key") != "", F.col("key"))).alias("owned"))
     ranked = _ranked_demand(trends, None, top_n)
-    owned = wanted.where("key is not null and key != ''").distinct().withColumn("_has", F.lit(True))
-    per_user = wanted.select("user_id", "role_category").distinct()
-    top = (
-        per_user.join(ranked.where("in_top"), "role_category")
-        .join(owned, ["user_id", "role_category", "key"], "left")
-        .select("user_id", *_gap_columns(F.when(F.col("_has"), "matched").otherwise("missing")))
+    top = ranked.where("in_top").groupBy("role_category").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "skill", "key", "pct_of_postings"))).alias("top")
     )
+    both = owned.join(small_side(top), "role_category")
+    matched = both.select("user_id", "role_category", "owned", F.explode("top").alias("t")).select(
+        "user_id",
+        "role_category",
+        "t.skill",
+        "t.pct_of_postings",
+        "t.rank",
+        F.when(F.array_contains("owned", F.col("t.key")), "matched").otherwise("missing").alias("_status"),
+    )
+    # what the top does not name is looked up by role and skill
+    others = F.array_except("owned", F.transform("top", lambda t: t["key"]))
     bonus = (
-        owned.join(_bonus_candidates(ranked), ["role_category", "key"])
-        .select("user_id", *_gap_columns(F.lit("bonus")))
+        both.select("user_id", "role_category", F.explode(others).alias("key"))
+        .join(_bonus_candidates(ranked), ["role_category", "key"])
+        .select("user_id", "role_category", "skill", "pct_of_postings", "rank", F.lit("bonus").alias("_status"))
     )
-    return top.unionByName(bonus)
+    return matched.unionByName(bonus).select("user_id", *_gap_columns(F.col("_status")))
+
+
+MAX_BROADCAST_ROLES = 10_000  # of at most ``top_n`` skills each
+
+
+def small_side(roles: DataFrame) -> DataFrame:
+    """One row per role, marked for broadcasting if there are few; else left to the optimiser."""
+    few = roles.limit(MAX_BROADCAST_ROLES + 1).count() <= MAX_BROADCAST_ROLES
+    return F.broadcast(roles) if few else roles
 
 
 def gap_score(trends: DataFrame, role: str, user_skills: list[str], top_n: int = 30) -> DataFrame:

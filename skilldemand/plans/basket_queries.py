@@ -229,6 +229,19 @@ def a13(spark, sf):
     )
 
 
+@query("a13_upsert_trends", BASKET_SQL + "SELECT * FROM trends")
+def a13_upsert(spark, sf):
+    """The even postings stored, the odd ones merged in as a run, and the run repeated."""
+    base = scratch_dir(spark, "store")
+    rows, done = A.basket_postings(spark, sf), A.basket_processed(spark, sf)
+    even = F.col("posting_id") % 2 == 0
+    store.write_table(weekly.build_trends(rows.where(even), done.where(even)), base, "trends", "overwrite", "even")
+    delta = weekly.skill_mentions(rows.where(~even), done.where(~even))
+    for _ in range(2):
+        store.upsert_trends(spark, base, delta, weekly.weekly_totals(rows), "odd")
+    return store.read_table(spark, base, "trends")
+
+
 @query(
     "a14_export_trending",
     BASKET_SQL + "SELECT skill, role_category, week_start, mention_count, pct_of_postings, wow_change FROM trending",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skilldemand.operators import enrich as N
 from skilldemand.operators import ingest
+from skilldemand.operators import density as D
+from skilldemand.operators import term_topics as TT
 from skilldemand.operators import topics as M
 from skilldemand.plans import adapters as A
 from skilldemand.plans.basket_queries import EVENT_SQL
@@ -269,6 +271,36 @@ def c13(spark, sf):
     )
 
 
+DENSITY_SQL = """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+near AS (SELECT a.id AS x, b.id AS y, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON list_distance(a.e, b.e) <= 1.15),
+counts AS (SELECT x AS id, count(*) AS neighbours, count(*) >= 5 AS core FROM near GROUP BY x),
+links AS (SELECT x, y FROM near JOIN counts p ON p.id = x AND p.core JOIN counts q ON q.id = y AND q.core),
+reach AS (SELECT id AS x, id AS y FROM counts WHERE core UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+comps AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x),
+border AS (SELECT x AS id, component FROM near JOIN counts p ON p.id = x AND NOT p.core JOIN comps c ON c.id = y
+  QUALIFY row_number() OVER (PARTITION BY x ORDER BY d, y) = 1),
+members AS (SELECT * FROM comps UNION ALL SELECT * FROM border),
+numbered AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS topic_id FROM members GROUP BY component)
+SELECT id AS posting_id, CAST(coalesce(topic_id, -1) AS INTEGER) AS topic_id, core AS is_core, neighbours
+FROM counts LEFT JOIN members USING (id) LEFT JOIN numbered USING (component)"""
+
+
+@query("c13_density_topics", DENSITY_SQL)
+def c13_density(spark, sf):
+    """Dense regions of the embeddings, and outliers."""
+    return D.density_topics(_vectors(spark, sf), eps=1.15, min_points=5)
+
+
+# No SQL: rounds until the sum of cosines settles; a test does the same with numpy.
+@query("c13_term_topics")
+def c13_terms(spark, sf):
+    """Topics of the documents' words: their documents and mean cosine."""
+    docs = A.document_postings(spark, sf).withColumnRenamed("raw_text", "text")
+    model = TT.fit_term_topics(docs, 5)
+    rows = model.assign(docs)
+    return rows.groupBy("topics.topic_id").agg(F.count("*").alias("n"), F.avg("topics.probability").alias("mean_probability"))
+
+
 @query("c14_assign_topics")
 def c14(spark, sf):
     """Topics of the documents' texts, from a model that is saved and loaded again."""
@@ -327,11 +359,15 @@ def c17(spark, sf):
 # Streams
 
 
-def _arrivals(spark, df, name, n_files=4):
-    """The rows as files that arrive one after the other."""
+ROWS_PER_FILE = 100_000
+
+
+def _arrivals(spark, df, name, batches=4):
+    """The rows as files that arrive in a few batches; a file has a bounded number of rows."""
     path = scratch_dir(spark, name)
-    df.repartition(n_files).write.parquet(path)
-    return I.read_arrivals(spark, path, df.schema, files_per_batch=1)
+    files = max(batches, -(-df.count() // ROWS_PER_FILE))
+    df.repartition(files).write.parquet(path)
+    return I.read_arrivals(spark, path, df.schema, files_per_batch=-(-files // batches))
 
 
 @query("i1_incremental_ingest", "SELECT DISTINCT 'http://events/' || (event_id % 1000) AS url, 1 AS copies FROM events")
@@ -340,7 +376,7 @@ def i1(spark, sf):
     arrivals = _arrivals(spark, rows, "arrivals")
     store = scratch_dir(spark, "postings")
     I.ingest_stream(arrivals, store, scratch_dir(spark, "checkpoint"), A.EVENT_ROLES).awaitTermination()
-    stored = I.read_batches(spark, store, rows.schema)
+    stored = I.read_batches(spark, store, rows.schema)  # urls repeat across batches
     return stored.groupBy("url").agg(F.count("*").cast("int").alias("copies"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "skilldemand", master: str | None = None, **conf) -> SparkSession:
@@ -32,3 +32,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     base = base or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared scratch folder and read back, which cuts their lineage."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

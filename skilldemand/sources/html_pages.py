@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from skilldemand.functions.dates import iso_utc
 from skilldemand.functions.html_text import Document, Element
+from skilldemand.functions.isolate import message
 
 _CARD = (
     "role_category string, title string, company string, location string, "
-    "url string, raw_text string, posted string"
+    "url string, raw_text string, posted string, error string"
 )
 
 # Source name and base address of this board.
@@ -25,17 +26,24 @@ BASE_URL = "https://www.reed.co.uk"
 def parse_html_pages(pages: DataFrame, base_url: str = BASE_URL, source: str = SOURCE) -> DataFrame:
     """Job cards of pages (role_category, html); cards without title or address are dropped.
 
-    Pages are parsed one by one inside the tasks that read them.
+    Pages are parsed one by one inside the tasks that read them. A page that can't be parsed
+    has no cards; ``parse_html_pages_checked`` tells which.
     """
+    return parse_html_pages_checked(pages, base_url, source).where("error IS NULL").drop("error")
+
+
+def parse_html_pages_checked(pages: DataFrame, base_url: str = BASE_URL, source: str = SOURCE) -> DataFrame:
+    """The same with ``error``: a page that fails is one row with the message and its role."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [field.split()[0] for field in _CARD.split(", ")]
         for batch in batches:
-            rows = [
-                (role, *card)
-                for role, html in zip(batch["role_category"], batch["html"])
-                for card in job_cards(html or "", base_url)
-            ]
+            rows = []
+            for role, html in zip(batch["role_category"], batch["html"]):
+                try:
+                    rows += [(role, *card, None) for card in list(job_cards(html or "", base_url))]
+                except Exception as exc:
+                    rows.append((role, *[None] * (len(columns) - 2), message(exc)))
             yield pd.DataFrame(rows, columns=columns)
 
     cards = pages.select("role_category", "html").mapInPandas(parse, _CARD)
@@ -48,6 +56,7 @@ def parse_html_pages(pages: DataFrame, base_url: str = BASE_URL, source: str = S
         "url",
         "raw_text",
         iso_utc(F.col("posted")).alias("posted_at"),
+        "error",
     )
 
 

@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilldemand.operators.trends import skill_gap, trending
 from skilldemand.operators.weekly import merge_trends
 from skilldemand.functions.numbers import round_exact
-from skilldemand.session import scratch_dir
+from skilldemand.schemas import TRENDS
+from skilldemand.sources.ledger import WeeklyTable, weeks_of
 
-# Trends are partitioned by week: the newest week, a range of weeks and the weeks an
-# upsert touches each read or rewrite only their own folders.
-PARTITIONS = {"trends": ["week_start"]}
+# Trends are held by week behind a ledger of runs: the newest week, a range of weeks and the
+# weeks an upsert touches each read or rewrite only their own folders.
+WEEKLY = {"trends": TRENDS}
 
 
 def table_path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
 
 
-def write_table(df: DataFrame, base: str, table: str, mode: str = "append") -> None:
-    """Write to a table; ``overwrite`` of a partitioned table replaces the given partitions only."""
-    columns = PARTITIONS.get(table, [])
-    # One file per week where possible; a very large week is still split over tasks.
-    out = df.hint("rebalance", *columns) if columns else df
-    writer = out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    if columns:
-        writer = writer.partitionBy(*columns)
-    writer.parquet(table_path(base, table))
+def weekly_table(spark: SparkSession, base: str, table: str = "trends") -> WeeklyTable:
+    return WeeklyTable(spark, table_path(base, table), WEEKLY[table])
+
 
+def write_table(df: DataFrame, base: str, table: str, mode: str = "append", run: str | None = None) -> None:
+    """Write to a table; ``overwrite`` of a weekly table replaces the given weeks only.
 
-def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
+    A weekly table ignores a ``run`` that it has finished before.
+    """
+    if table not in WEEKLY:
+        df.write.mode(mode).parquet(table_path(base, table))
+        return
+    weekly, weeks = weekly_table(df.sparkSession, base, table), weeks_of(df)
+    rows = df.select(*WEEKLY[table].names)
+    if mode == "append":
+        rows = weekly.read(weeks).unionByName(rows)
+    weekly.replace(rows, weeks, run or uuid.uuid4().hex)
+
+
+def read_table(spark: SparkSession, base: str, table: str, weeks: list[dt.date] | None = None) -> DataFrame:
+    """The rows of a table; of a weekly one, ``weeks`` reads the folders of some weeks only."""
+    if table in WEEKLY:
+        return weekly_table(spark, base, table).read(weeks)
     return spark.read.parquet(table_path(base, table))
 
 
@@ -42,17 +57,19 @@ def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "posting_id
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
-def upsert_trends(spark: SparkSession, base: str, delta: DataFrame, totals: DataFrame) -> None:
-    """Merge new counts into the stored trends, rewriting the touched weeks only.
+def upsert_trends(
+    spark: SparkSession, base: str, delta: DataFrame, totals: DataFrame, run: str | None = None
+) -> None:
+    """Merge new counts into the stored trends; only the weeks they touch are read and written.
 
-    The merged weeks are written beside the table first, so a lost executor or a
-    repeated commit never meets a half-replaced input.
+    ``run`` names the counts: merging the same run again changes nothing, whether it was
+    finished or lost on the way.
     """
-    touched = delta.select("week_start").union(totals.select("week_start")).distinct()
-    stored = read_table(spark, base, "trends").join(touched, "week_start", "left_semi")
-    staged = scratch_dir(spark, "trends")
-    merge_trends(stored, delta, totals).write.parquet(staged)
-    write_table(spark.read.parquet(staged), base, "trends", "overwrite")
+    weekly = weekly_table(spark, base)
+    if run is not None and weekly.committed(run):
+        return
+    weeks = weeks_of(delta, totals)
+    weekly.replace(merge_trends(weekly.read(weeks), delta, totals), weeks, run or uuid.uuid4().hex)
 
 
 TRENDING_COLUMNS = [

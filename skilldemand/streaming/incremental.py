@@ -16,7 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from skilldemand.operators.ingest import dedupe_against, first_per_url
-from skilldemand.operators.weekly import KEY, SLOT, merge_trends, skill_mentions, weekly_totals
+from skilldemand.functions.numbers import round_exact, safe_ratio
+from skilldemand.operators.weekly import KEY, SLOT, skill_mentions, weekly_totals
+from skilldemand.sources.ledger import WeeklyTable, weeks_of
+
+BUCKETS = 64  # folders of a batch, by the hash of the URL
 
 BatchJob = Callable[[DataFrame], DataFrame]
 
@@ -35,6 +39,7 @@ def read_batches(
     spark: SparkSession, path: str, schema: T.StructType, before: int | None = None
 ) -> DataFrame:
     """The rows of all finished batches of a table, or of those before a batch."""
+    schema = T.StructType(list(schema.fields))
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema.add("batch_id", T.LongType()))
@@ -61,19 +66,37 @@ def _run(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: s
     )
 
 
+def url_bucket(buckets: int):
+    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+
+
 def ingest_stream(
-    arrivals: DataFrame, store: str, checkpoint: str, roles: list[str] | None = None
+    arrivals: DataFrame,
+    store: str,
+    checkpoint: str,
+    roles: list[str] | None = None,
+    buckets: int = BUCKETS,
+    recent: str | None = None,
 ) -> StreamingQuery:
     """Add arriving postings whose URL is not stored yet, one per URL.
 
-    The store itself is what makes URLs unique for all time, so no state with a
-    time limit is kept.
+    The store makes URLs unique for all time. It is cut by the hash of the URL, and a batch
+    reads the URLs of the buckets it falls into, no other folders. The number of buckets must
+    not change for a store. With ``recent``, a delay on ``scraped_at``, rows that arrive again
+    unchanged within it are dropped by a state of that length before they meet the store;
+    what is stored is the same.
     """
     schema = arrivals.schema
+    if recent is not None:
+        simple = [c for c, kind in arrivals.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+        arrivals = arrivals.withWatermark("scraped_at", recent).dropDuplicatesWithinWatermark(simple)
 
     def job(batch: DataFrame, batch_id: int) -> None:
-        stored = read_batches(batch.sparkSession, store, schema, before=batch_id)
-        _write_batch(dedupe_against(first_per_url(batch, roles), stored), store, batch_id)
+        new = first_per_url(batch, roles).withColumn("bucket", url_bucket(buckets))
+        asked = [r["bucket"] for r in batch.select(url_bucket(buckets).alias("bucket")).distinct().collect()]
+        stored = read_batches(batch.sparkSession, store, schema.add("bucket", T.IntegerType()), before=batch_id)
+        fresh = dedupe_against(new, stored.where(F.col("bucket").isin(asked)))
+        _write_batch(fresh, store, batch_id, ["bucket"])
 
     return _run(arrivals, job, checkpoint)
 
@@ -120,15 +143,6 @@ COUNTS = T.StructType(
         T.StructField("mention_count", T.LongType()),
     ]
 )
-TOTALS = T.StructType(
-    [
-        T.StructField("role_category", T.StringType()),
-        T.StructField("week_start", T.DateType()),
-        T.StructField("total_postings", T.LongType()),
-    ]
-)
-
-
 def current_counts(spark: SparkSession, out: str) -> DataFrame:
     return (
         read_batches(spark, out, COUNTS)
@@ -137,26 +151,46 @@ def current_counts(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def trends_stream(arrivals: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def counts_table(spark: SparkSession, out: str) -> WeeklyTable:
+    """Counts that add up, by week; a row without a skill is the total of its role."""
+    return WeeklyTable(spark, out, COUNTS)
+
+
+def trends_stream(
+    arrivals: DataFrame, out: str, checkpoint: str, name: str = "batch", compact_every: int | None = None
+) -> StreamingQuery:
     """Weekly counts of arriving enriched postings of any age.
 
-    Each batch of (posting_id, role_category, scraped_at, skills_extracted) adds its own
-    counts and totals; a null skill list is a posting that is not processed.
+    Each batch of (posting_id, role_category, scraped_at, skills_extracted) is added to the
+    stored counts of the weeks that it touches, as a run of its own, so a repeated batch adds
+    nothing. A null skill list is a posting that is not processed. ``name`` tells streams
+    that share a table apart. Every ``compact_every`` batches folders that newer ones
+    replace are deleted; readers of older rows should be done by then.
     """
 
     def job(batch: DataFrame, batch_id: int) -> None:
+        table = counts_table(batch.sparkSession, out)
+        run = f"{name}-{batch_id}"
+        if table.committed(run):
+            return
         processed = batch.where("skills_extracted is not null")
         mentions = skill_mentions(batch, processed.select("posting_id", "skills_extracted"))
-        _write_batch(mentions, os.path.join(out, "counts"), batch_id)
-        _write_batch(weekly_totals(batch), os.path.join(out, "totals"), batch_id)
+        totals = weekly_totals(batch).select(
+            F.lit(None).cast("string").alias("skill"), *SLOT, F.col("total_postings").alias("mention_count")
+        )
+        new = mentions.unionByName(totals)
+        weeks = weeks_of(weekly_totals(batch))
+        added = table.read(weeks).unionByName(new).groupBy(*KEY).agg(F.sum("mention_count").alias("mention_count"))
+        table.replace(added, weeks, run)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            table.compact()
 
     return _run(arrivals, job, checkpoint)
 
 
-def trends_of_batches(spark: SparkSession, out: str) -> DataFrame:
-    """The trends table that all batches so far add up to."""
-    counts = read_batches(spark, os.path.join(out, "counts"), COUNTS)
-    totals = read_batches(spark, os.path.join(out, "totals"), TOTALS)
-    summed = totals.groupBy(*SLOT).agg(F.sum("total_postings").alias("total_postings"))
-    none = counts.where(F.lit(False)).withColumn("pct_of_postings", F.lit(None).cast("double"))
-    return merge_trends(none, counts, summed)
+def trends_of_batches(spark: SparkSession, out: str, weeks: list | None = None) -> DataFrame:
+    """The trends table that all batches so far add up to, or some weeks of it."""
+    counts = counts_table(spark, out).read(weeks)
+    totals = counts.where("skill IS NULL").select(*SLOT, F.col("mention_count").alias("total"))
+    share = round_exact(safe_ratio(F.col("mention_count"), F.col("total")), 4).alias("pct_of_postings")
+    return counts.where("skill IS NOT NULL").join(totals, SLOT).select(*KEY, "mention_count", share)
