@@ -3,7 +3,10 @@
 A source with token share p gets the weight p ** a / sum(p ** a). The exponent a is the
 smallest step of 1/4096 from 0 to 1 at which the weights' entropy is at most a target and
 no source repeats more often than a limit; both fall as a grows, so it is found by sections.
-Sources that are more even than the target as they are keep their natural shares (a is 1).
+The target lies between the entropy of the natural shares (a is 1) and that of even ones (a
+is 0), by default in the middle, so sources that differ are always evened out: rows of large
+sources are left out and those of small ones repeat. A target can also be a share of
+the even entropy; sources that are more even than that keep their natural shares.
 
 A source's budget is its weight times the budget of all. It is spent on whole passes over
 the source and then on the beginning of one more pass. A pass visits the source's blocks
@@ -20,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skilldemand.llm.common import stage
-from skilldemand.llm.ranking import PER_RANGE, digest_fraction, group_name, range_count, seeded_digest
+from skilldemand.llm.ranking import digest_fraction, group_name, range_count, seeded_digest
 
 STEPS = 4096  # steps of the exponent from 0 to 1
 SECTIONS = 32
+PER_BLOCK = 2_000  # rows of all sources that fall into one range of digests, a source's block
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,7 +37,7 @@ def word_count(text: Column) -> Column:
 
 
 def smallest_exponent(
-    sources: DataFrame, total: int, budget: int, entropy_ratio: float | None, max_repeats: float | None
+    sources: DataFrame, total: int, budget: int, target: float | None, max_repeats: float | None
 ) -> float:
     """The smallest exponent from 0 to 1 that keeps both limits, or 1 if none does.
 
@@ -61,12 +65,11 @@ def smallest_exponent(
             F.sum("w").alias("z"),
             F.sum(F.col("w") * F.log("w")).alias("wlogw"),
             F.max(F.col("w") / F.col("p")).alias("ratio"),
-            F.count("*").alias("n"),
         )
         good = F.lit(True)
-        if entropy_ratio is not None:
+        if target is not None:
             entropy = F.log("z") - F.col("wlogw") / F.col("z")
-            good &= entropy <= F.lit(entropy_ratio) * F.log("n") + F.lit(1e-12)
+            good &= entropy <= F.lit(target + 1e-12)
         if max_repeats is not None:
             repeats = F.col("ratio") / F.col("z") * F.lit(budget / total)
             good &= repeats <= F.lit(max_repeats + 1e-9)
@@ -79,27 +82,39 @@ def smallest_exponent(
     return high / STEPS
 
 
+def target_entropy(sources: DataFrame, total: int, evenness: float | None, entropy_ratio: float | None) -> float | None:
+    """The entropy to meet: a share of the even one, or a step from the natural one towards it."""
+    share = F.col("tokens") / F.lit(float(total))
+    facts = sources.agg(F.sum(-share * F.log(share)).alias("natural"), F.log(F.count("*")).alias("even")).first()
+    if entropy_ratio is not None:
+        return entropy_ratio * facts.even
+    return None if evenness is None else facts.natural + evenness * max(facts.even - facts.natural, 0.0)
+
+
 def temperature_mixture(
     df: DataFrame,
     source: str = "source",
     key: str = "doc_id",
     text: str = "text",
     budget: int | None = None,
-    entropy_ratio: float | None = 0.95,
+    evenness: float | None = 0.5,
+    entropy_ratio: float | None = None,
     max_repeats: float | None = 4.0,
     seed: int = 0,
-    per_block: int = PER_RANGE,
+    per_block: int = PER_BLOCK,
 ) -> DataFrame:
     """Rows of ``df`` as often as the mixture takes them, with ``n_tokens``, ``epoch``, ``block``.
 
     ``budget`` is the number of words in all, by default that of ``df``. ``epoch`` counts a
     source's passes from 0; a pass's order is by ``visit`` of its blocks (see
     ``block_visit``). The row on which the last pass reaches its budget is its last.
-    ``entropy_ratio`` is the target as a share of the entropy of even weights; sources that
-    are more even than that keep their shares, so the budget of ``df`` takes every row with
-    words once. ``max_repeats`` goes before the target. A budget that breaks it at every
-    exponent is spent by natural shares, with a warning. Null sources are a source of their own; a source without words has no weight and is left
-    out; rows without words cost nothing and go with their block. Rows equal in key, source
+    ``evenness``, from 0 to 1, is how far the target lies from the entropy of the natural
+    shares to that of even ones; ``entropy_ratio``, if given, is the target as a share of the
+    latter. Where the target is above the natural entropy, the sources with the largest
+    shares lose rows and others repeat. ``max_repeats`` goes before the target. A budget that
+    breaks it at every exponent is spent by natural shares, with a warning. Null sources are a
+    source of their own; a source without words has no weight and is left out; rows without
+    words cost nothing and go with their block. Rows equal in key, source
     and text may change places. Columns named like the added ones are refused. An empty
     table, or one without words, gives no rows.
     """
@@ -120,7 +135,8 @@ def temperature_mixture(
         budget, exponent = 0, 1.0
     else:
         budget = total if budget is None else budget
-        exponent = smallest_exponent(sources, total, budget, entropy_ratio, max_repeats)
+        target = target_entropy(sources, total, evenness, entropy_ratio)
+        exponent = smallest_exponent(sources, total, budget, target, max_repeats)
     power = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(exponent))
     scale = sources.agg(F.sum(power)).first()[0] or 1.0
     due = F.round(power / F.lit(scale) * F.lit(float(budget))).cast("long")
