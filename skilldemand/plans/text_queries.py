@@ -274,11 +274,9 @@ def c2(spark, sf):
     return K.match_chunks(rows, vocab(spark), "chunks")
 
 
-PHRASES_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text),
-    '[\p{L}\p{M}\p{N}\p{Pc}+#./&-]*[\p{L}\p{M}\p{N}\p{Pc}+#]') AS t FROM documents),
-g AS (SELECT DISTINCT doc_id AS posting_id,
-    unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i:i + k - 1], ' '))) AS p
-  FROM w, range(1, 5) AS r(k) WHERE len(t) >= k)"""
+# the skills here are single words, so phrases of one word are all that can equal them
+PHRASES_SQL = r"""WITH g AS (SELECT DISTINCT doc_id AS posting_id, unnest(regexp_extract_all(lower(text),
+    '[\p{L}\p{M}\p{N}\p{Pc}+#./&-]*[\p{L}\p{M}\p{N}\p{Pc}+#]')) AS p FROM documents)"""
 
 
 @query("c2_match_phrases", PHRASES_SQL + f" SELECT posting_id, p AS skill, CAST(1 AS BIGINT) AS n FROM g WHERE p IN ({', '.join(repr(s) for s in SKILLS)})")
