@@ -7,10 +7,11 @@ so ``ROLLUP`` over the columns of the window sums the counts of all shorter phra
 all words of the language, from the same rows: no n-grams of single lengths are made.
 
 Windows end early, too, where no frequent phrase can go on. A phrase found at least
-``min_count`` times holds only words and pairs of neighbours found as often. Their hashes are
-counted first, over all texts, and the frequent ones are marked in a bit table of a fixed
-size; where others share their bit, windows are longer than they need be and the counts
-are the same. Words are compared as texts; hashes only mark.
+``min_count`` times holds only words, pairs and triples of neighbours found as often. Their
+hashes are counted first, over all texts (triples only of frequent pairs), and the frequent
+ones are marked in a bit table of a fixed size; where others share a hash or a bit, windows
+are longer than they need be and the counts are the same. Words are compared as texts;
+hashes only mark, and every count that is returned comes from the windows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from skilldemand.llm.common import stage
 LONGEST = 5  # words
 MIN_COUNT = 100
 TOP = 2000
-MARK_BITS = 1 << 26  # of the table of frequent words and pairs: 8 MB whatever the texts
+MARK_BITS = 1 << 26  # of the table of frequent words, pairs and triples: 8 MB whatever the texts
+LOW = np.uint64(0xFFFFFFFF)
 SLICE = 2 << 20  # bytes of text counted at a time
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values: where a text is cut into pieces
 
@@ -74,15 +76,42 @@ def marks(code: np.ndarray, goes_on: np.ndarray, salt: np.ndarray) -> tuple[np.n
     return word, pair
 
 
+def triples(word: np.ndarray, pair: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Hashes of each word with the next two where both pairs are joined, else 0."""
+    out = np.zeros(len(word), np.uint64)
+    able = np.flatnonzero(joined[:-2] & joined[1:-1]) if len(word) > 2 else np.zeros(0, np.int64)
+    out[able] = H.mix(pair[able] * np.uint64(0x9E3779B97F4A7C15) + word[able + 2])
+    return out
+
+
 def frequent_marks(docs: DataFrame, min_count: int) -> bytes:
-    """The bit table of words and pairs that occur ``min_count`` times in a language."""
+    """The bit table of words, pairs and triples that occur ``min_count`` times in a language."""
+
+    def single(word, pair, goes_on, table):
+        return np.concatenate([word, pair[goes_on]])
+
+    def triple(word, pair, goes_on, table):
+        key = triples(word, pair, joined_pairs(table, word, pair, goes_on))
+        return key[key != 0]
+
+    first = counted_marks(docs, min_count, single, b"")
+    second = counted_marks(docs, min_count, triple, first)
+    return (np.frombuffer(first, np.uint8) | np.frombuffer(second, np.uint8)).tobytes()
+
+
+def counted_marks(docs: DataFrame, min_count: int, keys_of, packed: bytes) -> bytes:
+    """The bit table of the keys that ``keys_of`` finds ``min_count`` times in all texts.
+
+    The lower half of a hash is counted, which is an upper bound for each key that has it.
+    """
 
     def count(batches):
+        table = np.frombuffer(packed, np.uint8)
         for batch in batches:
             for _, salt, number, data, offsets in by_language(batch):
                 code, rows, _, goes_on = word_runs(data, offsets)
                 word, pair = marks(code, goes_on, salt[number[rows]])
-                key, n = H.counted(np.concatenate([word, pair[goes_on]]))
+                key, n = H.counted(keys_of(word, pair, goes_on, table) & LOW)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
     counted = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -100,13 +129,23 @@ def marked(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def window_lengths(often: np.ndarray, joined: np.ndarray, longest: int) -> np.ndarray:
-    """Words in the window that each word leads: 0 for a rare word, else as far as pairs are joined."""
+def joined_pairs(table: np.ndarray, word: np.ndarray, pair: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """Whether each word and the next are both frequent, and so is their pair."""
+    often = marked(table, word)
+    joined = goes_on & often & marked(table, pair)
+    joined[:-1] &= often[1:]
+    return joined
+
+
+def window_lengths(often: np.ndarray, joined: np.ndarray, triple: np.ndarray, longest: int) -> np.ndarray:
+    """Words in the window that each word leads: 0 for a rare word, else as far as pairs and triples go."""
     length = often.astype(np.int64)
     run = often.copy()
     for k in range(1, longest):
         able = max(len(run) - k, 0)
         run[:able] &= joined[k - 1 : k - 1 + able]
+        if k > 1:
+            run[:able] &= triple[k - 2 : k - 2 + able]
         run[able:] = False
         length += run
     return length
@@ -128,10 +167,9 @@ def lead_windows(docs: DataFrame, longest: int, packed: bytes) -> DataFrame:
                     continue
                 lang = number[rows]
                 word, pair = marks(code, goes_on, salt[lang])
-                often = marked(table, word)
-                joined = goes_on & marked(table, pair)
-                joined[:-1] &= often[1:]
-                length = window_lengths(often, joined, longest)
+                joined = joined_pairs(table, word, pair, goes_on)
+                third = triples(word, pair, joined)
+                length = window_lengths(marked(table, word), joined, (third != 0) & marked(table, third), longest)
                 # windows that are equal in language and words count together
                 same = H.mix(lang.astype(np.uint64) + np.uint64(1))
                 for k in range(longest):
