@@ -183,6 +183,9 @@ def slices(texts: pa.Array | pa.ChunkedArray, size: int = 2 << 20) -> Iterator[t
         high = min(max(high, low + 1), n)
         yield low, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+    # memory of the batch goes back before the next one is read
+    del data, offsets
+    pa.default_memory_pool().release_unused()
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
