@@ -168,8 +168,7 @@ def fetched_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 )
 
     described = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, code array<long>")
-    # rows that repeat an id have one text
-    return stage(described.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-sets")
+    return stage(described.join(ids, "doc_id", "left_semi"), "jaccard-sets")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -309,14 +308,19 @@ def few_open(n: list, comp: list, bits: list, percent: int) -> tuple[list, list]
 def open_roots(group: pa.Table, two_tiles: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids in some buckets that have an open pair, each with one id that open pairs lead to.
 
-    ``group``: bucket, t, doc_id, n, comp, bits. As many links as there are ids at most,
-    however many pairs are open. A bucket whose rows are connected already is passed over.
+    ``group``: doc_id, n, comp, bits and the places of a row, its buckets and their tiles.
+    As many links as there are ids at most, however many pairs are open. A bucket whose rows
+    are connected already is passed over.
     """
-    order = pc.sort_indices(group, sort_keys=[("bucket", "ascending"), ("t", "ascending")])
-    group = group.take(order)
-    n, comp, t = (group[c].to_numpy() for c in ("n", "comp", "t"))
-    bits, bucket = group["bits"].to_pylist(), group["bucket"].to_numpy()
-    ids, place = np.unique(group["doc_id"].to_numpy(), return_inverse=True)
+    group = group.sort_by("doc_id").combine_chunks()
+    places = pa.concat_arrays(group["places"].chunks)
+    bucket, t = (x.to_numpy(zero_copy_only=False) for x in places.flatten().flatten())
+    owner = np.repeat(np.arange(len(places)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+    order = np.lexsort((owner, t, bucket))
+    bucket, t, place = bucket[order], t[order], owner[order]
+    ids, told = group["doc_id"].to_numpy(), group["bits"].to_pylist()
+    n, comp = (group[c].to_numpy()[place] for c in ("n", "comp"))
+    bits = [told[k] for k in place]
     label = np.arange(len(ids))
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for low, high in zip(cuts[:-1], cuts[1:]):
@@ -362,7 +366,8 @@ def open_links(members: DataFrame, bits: DataFrame, percent: int, tile: int = TI
     bucket whose sizes allow the similarity are one group of at most two tiles of rows, and
     only there bitmaps come in. Buckets of one tile are dealt into lots of about a tile of
     rows; those of the same smallest component stay together up to a bounded size, so that a
-    family is not told again by each of its buckets. A link need not be an open pair.
+    family is not told again by each of its buckets. A row enters a group once, with its
+    places in the group's buckets, so its bitmap is sent once. A link need not be an open pair.
     """
     tiled, units = tile_units(members, "bucket", tile, percent, "jaccard-tiles")
     size = F.lit(64) + F.least(F.col("n") / 4, F.lit(MAX_BITS // 8))
@@ -372,7 +377,8 @@ def open_links(members: DataFrame, bits: DataFrame, percent: int, tile: int = TI
     lots = max(1, -(-tiled.count() // tile))
     single = facts.where("last = 0").select("bucket", F.pmod(F.xxhash64("least", part), F.lit(lots)).alias("lot"))
     work = units.join(single, "bucket", "left").withColumn("whole", F.when(F.col("lot").isNull(), F.col("bucket")))
-    work = work.join(tiled, ["bucket", "t"]).join(bits, "doc_id")
+    work = work.join(tiled, ["bucket", "t"]).groupBy("lot", "whole", "t1", "t2", "doc_id", "n", "comp")
+    work = work.agg(F.collect_list(F.struct("bucket", "t")).alias("places")).join(bits, "doc_id")
 
     def compare(key, group):
         a, b = open_roots(group, key[2].as_py() != key[3].as_py(), percent)
@@ -443,7 +449,7 @@ def verified_links(open_: DataFrame, known: DataFrame, comps: DataFrame, docs: D
     """
     families = connected_components(open_).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
     label = F.coalesce("component", "doc_id").alias("comp")
-    sizes = known.where("prefix is not null").select("doc_id", "n").dropDuplicates(["doc_id"])
+    sizes = known.where("prefix is not null").select("doc_id", "n")
     rows = families.join(sizes, "doc_id").join(comps, F.col("doc_id") == comps.id, "left")
     rows = rows.select("doc_id", "family", "n", label)
     tiled, units = tile_units(rows, "family", tile, percent, "jaccard-families")
@@ -490,16 +496,17 @@ def ngram_jaccard_components(
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     name = F.xxhash64("doc_id", F.sha2("text", 256))
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
-    several = stage(several.where("lo <> hi").select("doc_id", F.lit(True).alias("more")), "jaccard-several")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    several = stage(several.where("rows > 1").select("doc_id", F.lit(True).alias("more")), "jaccard-several")
     if several.isEmpty():
         return set_components(docs, width, percent, tile)
     # every text of such an id is a document of its own, then the id's components are one
     key = F.when(F.col("more"), name).otherwise(F.col("doc_id"))
-    keyed = stage(docs.join(several, "doc_id", "left").select(key.alias("key"), "doc_id", "text"), "jaccard-keyed")
-    found = set_components(keyed.select(F.col("key").alias("doc_id"), "text"), width, percent, tile)
-    # copies of a text under a key are the same in all columns
-    found = found.where("doc_id is not null").withColumnRenamed("doc_id", "key").dropDuplicates(["key"])
+    keyed = stage(docs.join(several, "doc_id", "left").select(key.alias("key"), "doc_id", "text", "more"), "jaccard-keyed")
+    alone = keyed.where("more is null and key is not null").select("key", "text")
+    alone = alone.unionByName(keyed.where("more").select("key", "text").dropDuplicates(["key"]))
+    found = set_components(alone.withColumnRenamed("key", "doc_id"), width, percent, tile)
+    found = found.withColumnRenamed("doc_id", "key")
     rows = stage(keyed.select("key", "doc_id").join(found, "key", "left"), "jaccard-rows")
     owned = rows.join(several, "doc_id", "left_semi").select("doc_id", "component_id").distinct()
     first = owned.groupBy("doc_id").agg(F.min("component_id").alias("a"))
@@ -517,7 +524,7 @@ def ngram_jaccard_components(
 
 
 def set_components(docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
-    """The same for documents whose rows have one text for each id."""
+    """The same for documents of which no two rows have an id in common, null ids aside."""
     common = common_shingles(docs, width)
     sets = stage(describe_sets(docs, width, percent, common), "jaccard")
     known = sets.where("doc_id is not null and n > 0")
@@ -529,14 +536,17 @@ def set_components(docs: DataFrame, width: int, percent: int, tile: int) -> Data
     met = (
         known.where("prefix is not null")
         .select(F.posexplode("prefix").alias("at", "s"), "doc_id", "n")
-        # the smaller set of a pair has their first common shingle this early
-        .select("s", "doc_id", "n", F.expr(f"at <= n * {100 - percent} div {100 + percent}").alias("early"))
+        # the smaller set of a pair has their first common shingle this early; size and mark
+        # are one number, as most of the shuffle is these rows
+        .select("s", "doc_id", F.expr(f"2 * n + int(at <= n * {100 - percent} div {100 + percent})").alias("marked"))
+        .repartition("s")
+        .select("s", "doc_id", F.expr("shiftright(marked, 1)").alias("n"), F.expr("marked % 2").alias("early"))
         .withColumn("hub", F.min(F.struct("doc_id", "n")).over(per_bucket))
         .withColumn("last", F.max("doc_id").over(per_bucket))
         # buckets of the same members are one bucket
         .withColumn("members", F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).over(per_bucket))
         .withColumn("some_early", F.max("early").over(per_bucket))
-        .where("hub.doc_id <> last and some_early")
+        .where("hub.doc_id <> last and some_early = 1")
         .select("s", "doc_id", "n", "members", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
     met = stage(met, "jaccard-met")
@@ -544,7 +554,7 @@ def set_components(docs: DataFrame, width: int, percent: int, tile: int) -> Data
     stars = met.where((F.col("doc_id") != F.col("hub")) & fits).select(
         F.col("hub").alias("a"), F.col("doc_id").alias("b")
     )
-    bits = known.where("prefix is not null").select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
+    bits = known.where("prefix is not null").select("doc_id", "n", "bits")
     stars = stars.distinct().join(same, ["a", "b"], "left_anti")
     stars = stage(within_bound(stars, bits, percent), "jaccard-stars")
     links = stage(verify(stars, docs, width, percent).unionByName(same), "jaccard-links")
