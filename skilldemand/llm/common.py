@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in the jobs that run inside the block.
+
+    Texts may be long, and a batch is held by the executor, by its Python worker and, while
+    the next one is read, twice. The session's own setting comes back afterwards.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    least = min(rows, int(before)) if int(before) > 0 else rows
+    spark.conf.set(name, str(least))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key's text modulo ``folds``; a null key is in the fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

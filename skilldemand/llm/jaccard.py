@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skilldemand.llm import hashing as H
-from skilldemand.llm.common import stage
+from skilldemand.llm.common import arrow_batches, stage
 from skilldemand.llm.components import connected_components
 
 WIDTH = 5
@@ -43,6 +43,7 @@ TILE = 2048  # bitmaps in a tile, and four times the sets in one
 LOT_BYTES = 1 << 25  # of the rows of one component's buckets that are held together
 FEW = 6  # rows of a bucket that are compared pair by pair
 MAX_BITS = 1 << 14
+BATCH = 1000  # rows of an Arrow batch: texts, bitmaps or sets
 ID_BITS = 1 << 26  # of the table of ids whose sets are needed
 
 
@@ -524,7 +525,19 @@ def ngram_jaccard_components(
 
 
 def set_components(docs: DataFrame, width: int, percent: int, tile: int) -> DataFrame:
-    """The same for documents of which no two rows have an id in common, null ids aside."""
+    """The same for documents of which no two rows have an id in common, null ids aside.
+
+    All Python work is done when this returns: what it returns joins staged tables.
+    """
+    with arrow_batches(docs.sparkSession, BATCH):
+        sets, comps = sets_and_components(docs, width, percent, tile)
+    return sets.join(comps, sets.doc_id == comps.id, "left").select(
+        sets.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", sets.doc_id).alias("component_id")
+    )
+
+
+def sets_and_components(docs: DataFrame, width: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The staged sets of ``describe_sets`` and the staged components of their ids."""
     common = common_shingles(docs, width)
     sets = stage(describe_sets(docs, width, percent, common), "jaccard")
     known = sets.where("doc_id is not null and n > 0")
@@ -573,6 +586,4 @@ def set_components(docs: DataFrame, width: int, percent: int, tile: int) -> Data
         more = verified_links(rest, known, comps, docs, width, percent, max(tile // 4, 1))
         links = stage(links.unionByName(more), "jaccard-links")
         comps = stage(connected_components(links), "jaccard-comps")
-    return sets.join(comps, sets.doc_id == comps.id, "left").select(
-        sets.doc_id, F.col("n").alias("n_shingles"), F.coalesce("component", sets.doc_id).alias("component_id")
-    )
+    return sets, comps
