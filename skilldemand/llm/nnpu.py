@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,8 @@ from skilldemand.llm import hashing as H
 
 SAMPLE = 8_000  # confirmed rows, and unlabelled ones, that are fitted on at most
 FEATURES = 256  # words and beginnings of words that the score may use
-LEAST_Z = 8.0  # how far a word's share among positives must stand out
+FALSE_SHARE = 0.05  # of the chosen words that may stand out by chance
 BEGINNINGS = (4, 6)  # bytes of a word that are a feature of their own, for inflected words
-LEAST_ROWS = 3
 
 
 def features_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +69,23 @@ def distinct_per_row(code: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.nda
     return code[new], H.row_bounds(rows[new], n)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk_gradient(weights: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Direction of the step on some positives ``p`` and unlabelled rows ``u``, without decay.
+
+    The gradient of the risk; where the unlabelled part falls below zero, that of the part
+    taken the other way.
+    """
+    sp, su = sigmoid(p @ weights), sigmoid(u @ weights)
+    slope_p, slope_u = (sp * (1 - sp)) @ p / len(p), (su * (1 - su)) @ u / len(u)
+    rest = su.mean() - prior * sp.mean()
+    grad_rest = slope_u - prior * slope_p
+    return -prior * slope_p + grad_rest if rest >= 0 else -grad_rest
+
+
 def nn_pu_fit(
     positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 60, rate: float = 0.05, decay: float = 1e-4, batch: int = 512, seed: int = 0
 ) -> tuple[np.ndarray, float]:
@@ -85,17 +102,12 @@ def nn_pu_fit(
     add_one = lambda x: np.hstack([x, np.ones((len(x), 1))])
     positive, unlabelled = add_one(positive.astype(np.float64)), add_one(unlabelled.astype(np.float64))
     mean, square, step = np.zeros(width + 1), np.zeros(width + 1), 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(rounds):
         order = rng.permutation(len(unlabelled))
         for low in range(0, len(order), batch):
             u = unlabelled[order[low : low + batch]]
             p = positive[rng.integers(0, len(positive), min(batch, len(positive)))]
-            sp, su = sigmoid(p @ weights), sigmoid(u @ weights)
-            slope_p, slope_u = (sp * (1 - sp)) @ p / len(p), (su * (1 - su)) @ u / len(u)
-            rest = su.mean() - prior * sp.mean()  # negative risk, prior-corrected
-            grad_rest = slope_u - prior * slope_p
-            grad = -prior * slope_p + grad_rest if rest >= 0 else -grad_rest
+            grad = risk_gradient(weights, p, u, prior)
             grad = grad + decay * np.append(weights[:-1], 0)
             step += 1
             mean = 0.9 * mean + 0.1 * grad
@@ -122,11 +134,13 @@ def nn_pu_scores(
     """``doc_id, score, predicted``: one row per row of ``docs``, from its whole text alone.
 
     ``labels`` has ``doc_id`` and ``toxic``; only its rows with 1 are confirmed. The model
-    is fitted on at most ``sample`` confirmed and ``sample`` other documents, over at most
+    is fitted on at most ``sample`` confirmed documents and ``sample`` of all, whose labels
+    are not looked at, over at most
     ``features`` words and beginnings of words, those that stand out most among the confirmed. ``prior`` is the
-    share of toxic texts among the others; by default that among the rows of ``labels``
+    share of toxic texts among all; by default that among the rows of ``labels``
     with a value. Features are presences. Null texts count as empty; null
-    ids are scored but not learnt from; ids labelled twice are confirmed if any label is.
+    ids are scored but not learnt from; ids labelled twice are confirmed if any label is;
+    of an id with several texts the one with the smallest list of word hashes is learnt from.
     Without confirmed rows all scores equal the prior, 0.01 if nothing is labelled.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -137,42 +151,58 @@ def nn_pu_scores(
     prior = min(max(prior if prior is not None else 0.01, 0.001), 0.999)
     confirmed = marks.where("toxic = 1")
     picked = F.broadcast(bounded_sample(confirmed, sample, seed).withColumn("mark", F.lit(1)))
-    rest = docs.where("doc_id is not null").join(confirmed, "doc_id", "left_anti")
-    others = F.broadcast(bounded_sample(rest, sample, seed).withColumn("mark", F.lit(0)))
+    every = docs.where("doc_id is not null")
+    others = F.broadcast(bounded_sample(every, sample, seed).withColumn("mark", F.lit(0)))
     chosen = docs.join(picked.unionByName(others), "doc_id")  # both sides of a bounded size
     chosen = chosen.withColumn("key", F.col("doc_id") * 2 + F.col("mark"))
-    seen = distinct_words(chosen, "key").dropDuplicates(["key"]).persist()
+    seen = distinct_words(chosen, "key").groupBy("key").agg(F.min("words").alias("words"))
+    seen = seen.withColumn("mark", F.pmod("key", F.lit(2)).cast("int")).persist()
     try:
-        sizes = {r.mark: r.n for r in seen.groupBy((F.col("key") % 2).alias("mark")).agg(F.count("*").alias("n")).collect()}
+        sizes = {r.mark: r.n for r in seen.groupBy("mark").agg(F.count("*").alias("n")).collect()}
         n_pos, n_rest = sizes.get(1, 0), sizes.get(0, 0)
         words = standing_out(seen, n_pos, n_rest, features)
-        rows = seen.select((F.col("key") % 2).alias("mark"), "key", F.explode("words").alias("w"))
+        rows = seen.select("mark", "key", F.explode("words").alias("w"))
         used = F.broadcast(seen.sparkSession.createDataFrame([(int(w), i) for i, w in enumerate(words)], "w long, f int"))
-        kept = rows.join(used, "w").groupBy("mark", "key").agg(F.collect_list("f").alias("f")).orderBy("key").collect()
+        kept = rows.join(used, "w").groupBy("mark", "key").agg(F.collect_list("f").alias("f")).orderBy("key").toArrow()
     finally:
         seen.unpersist()
-    matrices = {1: np.zeros((n_pos, len(words)), np.float32), 0: np.zeros((n_rest, len(words)), np.float32)}
-    at = {0: 0, 1: 0}
-    for row in kept:  # rows without any of the words stay zero
-        matrices[row.mark][at[row.mark], row.f] = 1
-        at[row.mark] += 1
-    weights, bias = nn_pu_fit(matrices[1], matrices[0], prior, seed=seed)
+    matrices = [np.zeros((n, len(words)), np.float32) for n in (n_rest, n_pos)]
+    for mark, matrix in enumerate(matrices):  # rows without any of the words stay zero
+        lists = kept.filter(pc.equal(kept["mark"], mark))["f"].combine_chunks()
+        matrix[np.repeat(np.arange(len(lists)), lists.value_lengths()), lists.flatten()] = 1
+    unlabelled, positive = matrices
+    weights, bias = nn_pu_fit(positive, unlabelled, prior, seed=seed)
     order = np.argsort(words)
     return apply_scores(docs, words[order], weights[order], bias, threshold)
 
 
 def standing_out(seen: DataFrame, n_pos: int, n_rest: int, features: int) -> np.ndarray:
-    """Words whose share of confirmed texts is furthest above that of the others, in deviations."""
+    """Words that confirmed texts have more often than chance, the least likely first.
+
+    If a word's texts were confirmed or not by chance alone, ``a`` or more of its ``t`` texts
+    would be confirmed with a probability of at most exp(-t KL(a/t, share)). Words are taken as
+    far as the share of chance finds among them (Benjamini and Hochberg) allows, so how far
+    a word must stand out follows from the number of rows and of words.
+    """
     if not n_pos or not n_rest:
         return np.zeros(0, np.int64)
-    rows = seen.select((F.col("key") % 2).alias("mark"), F.explode("words").alias("w"))
-    both = F.col("a") + F.col("b")
-    pooled = both / F.lit(float(n_pos + n_rest))
-    gap = F.col("a") / F.lit(float(n_pos)) - F.col("b") / F.lit(float(n_rest))
-    z = gap / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n_pos + 1 / n_rest) + F.lit(1e-12))
-    counts = rows.groupBy("w").agg(F.sum("mark").alias("a"), F.sum(1 - F.col("mark")).alias("b"))
-    top = counts.where(F.col("a") >= LEAST_ROWS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    return np.array([r.w for r in top.orderBy(F.desc("z"), "w").limit(features).collect()], np.int64)
+    share = n_pos / (n_pos + n_rest)
+    rows = seen.select("mark", F.explode("words").alias("w"))
+    counts = rows.groupBy("w").agg(F.sum("mark").alias("a"), F.count("*").alias("t"))
+    part = F.col("a") / F.col("t")
+    without = F.col("t") - F.col("a")
+    chance = -F.col("a") * F.log(part / F.lit(share))
+    chance = chance - F.when(without > 0, without * F.log((1 - part) / F.lit(1 - share))).otherwise(0.0)
+    likely = F.when(part > share, chance).otherwise(0.0)
+    counts = counts.withColumn("p", F.when(F.col("a") > 0, likely).otherwise(0.0)).persist()
+    try:
+        tested = counts.count()
+        top = counts.where("p < 0").orderBy("p", "w").limit(features).toArrow()
+    finally:
+        counts.unpersist()
+    p, rank = top["p"].to_numpy(), np.arange(1, len(top) + 1)
+    passed = np.flatnonzero(p <= np.log(FALSE_SHARE * rank / max(tested, 1)))
+    return top["w"].to_numpy()[: passed[-1] + 1 if len(passed) else 0]
 
 
 def apply_scores(docs: DataFrame, words: np.ndarray, weights: np.ndarray, bias: float, threshold: float) -> DataFrame:
