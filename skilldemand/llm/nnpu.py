@@ -150,10 +150,11 @@ def nn_pu_scores(
         prior = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = min(max(prior if prior is not None else 0.01, 0.001), 0.999)
     confirmed = marks.where("toxic = 1")
-    picked = F.broadcast(bounded_sample(confirmed, sample, seed).withColumn("mark", F.lit(1)))
+    picked = bounded_sample(confirmed, sample, seed).withColumn("mark", F.lit(1))
     every = docs.where("doc_id is not null")
-    others = F.broadcast(bounded_sample(every, sample, seed).withColumn("mark", F.lit(0)))
-    chosen = docs.join(picked.unionByName(others), "doc_id")  # both sides of a bounded size
+    others = bounded_sample(every, sample, seed).withColumn("mark", F.lit(0))
+    # twice ``sample`` ids at most, so texts are not shuffled
+    chosen = docs.join(F.broadcast(picked.unionByName(others)), "doc_id")
     chosen = chosen.withColumn("key", F.col("doc_id") * 2 + F.col("mark"))
     seen = distinct_words(chosen, "key").groupBy("key").agg(F.min("words").alias("words"))
     seen = seen.withColumn("mark", F.pmod("key", F.lit(2)).cast("int")).persist()
