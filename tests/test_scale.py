@@ -34,3 +34,39 @@ def test_density_rules_far_pairs_out_by_a_product():
     assert ((got <= reach) == (want <= reach)).all()
     assert (got[want <= reach] == want[want <= reach]).all()
     assert np.isinf(got[want > reach * 1.001]).all()
+
+
+def test_terms_are_counted_in_their_row(spark):
+    rows = [(1, "data team data team data"), (2, None), (3, "x"), (4, "red blue"), (4, "blue red blue"), (None, "data lake"), (None, "data")]
+    df = spark.createDataFrame(rows, "posting_id int, text string")
+    got = M.topic_features(df)
+    assert {(r.posting_id, r.term): r.tf for r in got.collect()} == {
+        (1, "data"): 3, (1, "team"): 2, (1, "data team"): 2, (1, "team data"): 2,
+        (4, "red"): 2, (4, "blue"): 3, (4, "red blue"): 2, (4, "blue red"): 1,
+        (None, "data"): 2, (None, "lake"): 1, (None, "data lake"): 1,
+    }
+    assert got.count() == 11
+    # rows with an id of their own are told apart before terms are grouped
+    assert "LeftAnti" in plan_of(got)
+
+
+def test_stop_words_may_be_none(spark):
+    df = spark.createDataFrame([(1, "the cat")], "posting_id int, text string")
+    assert {r.term for r in M.topic_features(df, stop_words=[]).collect()} == {"the", "cat", "the cat"}
+
+
+def test_a_sweep_finds_topics_once_for_each_number(spark, monkeypatch):
+    rng = random.Random(1)
+    pools = [["python", "pandas", "numpy", "model"], ["docker", "helm", "cluster", "node"]]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(pools[i % 2], k=8))) for i in range(60)], "posting_id int, text string")
+    calls = []
+    plain = M.TopicModel.distribution
+    monkeypatch.setattr(M.TopicModel, "distribution", lambda self, d: calls.append(1) or plain(self, d))
+    assert M.sweep_topics(docs, (2, 3), max_iter=2).count() == 2
+    assert len(calls) == 2
+    model = M.fit_topics(docs, 2, max_iter=2)
+    words = model.words.orderBy("topic_id", "rank").collect()
+    assigned = M.with_topics(docs, model).withColumn("topic_id", F.col("topics.topic_id"))
+    want = M.topic_words(assigned).orderBy("topic_id", "rank").collect()
+    assert [(r.topic_id, r.word) for r in words] == [(r.topic_id, r.word) for r in want]
+    assert [r.score for r in words] == pytest.approx([r.score for r in want])
