@@ -26,8 +26,9 @@ BASE_URL = "https://www.reed.co.uk"
 def parse_html_pages(pages: DataFrame, base_url: str = BASE_URL, source: str = SOURCE) -> DataFrame:
     """Job cards of pages (role_category, html); cards without title or address are dropped.
 
-    Pages are parsed one by one inside the tasks that read them. A page that can't be parsed
-    has no cards; ``parse_html_pages_checked`` tells which.
+    Pages are dealt over the tasks by a hash of their text first, as a file of small pages is
+    often read by one task. A page that can't be parsed has no cards;
+    ``parse_html_pages_checked`` tells which.
     """
     return parse_html_pages_checked(pages, base_url, source).where("error IS NULL").drop("error")
 
@@ -46,7 +47,7 @@ def parse_html_pages_checked(pages: DataFrame, base_url: str = BASE_URL, source:
                     rows.append((role, *[None] * (len(columns) - 2), message(exc)))
             yield pd.DataFrame(rows, columns=columns)
 
-    cards = pages.select("role_category", "html").mapInPandas(parse, _CARD)
+    cards = pages.select("role_category", "html").repartition("html").mapInPandas(parse, _CARD)
     return cards.select(
         F.lit(source).alias("source"),
         "role_category",

@@ -55,6 +55,14 @@ def test_stop_words_may_be_none(spark):
     assert {r.term for r in M.topic_features(df, stop_words=[]).collect()} == {"the", "cat", "the cat"}
 
 
+def test_pages_are_dealt_over_tasks(spark):
+    card = '<article data-qa="job-card"><h2><a href="/jobs/{}">Chef</a></h2></article>'
+    pages = spark.createDataFrame([("r", card.format(i % 7)) for i in range(20)] + [("r", None)], "role_category string, html string")
+    got = html_pages.parse_html_pages(pages.coalesce(1))
+    assert "RepartitionByExpression" in plan_of(got)
+    assert Counter(r.url[-1] for r in got.collect()) == Counter(str(i % 7) for i in range(20))
+
+
 def test_a_sweep_finds_topics_once_for_each_number(spark, monkeypatch):
     rng = random.Random(1)
     pools = [["python", "pandas", "numpy", "model"], ["docker", "helm", "cluster", "node"]]
