@@ -13,6 +13,7 @@ from functools import reduce
 from operator import add, or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +87,8 @@ WHITESPACE = (
     "    　"
 )
 
+SLICE = 256  # texts of an Arrow batch that are parsed at once
+
 _CHECKED = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]
 )
@@ -157,14 +160,23 @@ def _trim_node(col: Column) -> Column:
     return strip(col)
 
 
-@F.pandas_udf(T.StringType())
-def _markup_text(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: text_of(text, lenient=True), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _markup_text(texts: pa.Array) -> pa.Array:
+    return _parsed(texts, strip=False)
 
 
-@F.pandas_udf(T.StringType())
-def _markup_text_trimmed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: text_of(text, strip=True, lenient=True), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _markup_text_trimmed(texts: pa.Array) -> pa.Array:
+    return _parsed(texts, strip=True)
+
+
+def _parsed(texts: pa.Array, strip: bool) -> pa.Array:
+    """The texts of markup; of a batch only ``SLICE`` texts at a time are Python strings."""
+    parts = [pa.array([], pa.string())]
+    for low in range(0, len(texts), SLICE):
+        some = texts.slice(low, SLICE).to_pylist()
+        parts.append(pa.array([None if t is None else text_of(t, strip, lenient=True) for t in some], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def normalise_unicode(col: Column) -> Column:

@@ -63,6 +63,16 @@ def test_pages_are_dealt_over_tasks(spark):
     assert Counter(r.url[-1] for r in got.collect()) == Counter(str(i % 7) for i in range(20))
 
 
+def test_markup_is_parsed_in_slices(monkeypatch):
+    texts = [f"<p> {i} </p>" for i in range(600)] + [None, ""]
+    asked = []
+    monkeypatch.setattr(X, "pa", type("P", (), {"Array": pa.Array, "string": pa.string, "concat_arrays": pa.concat_arrays, "array": lambda v, t: asked.append(len(v)) or pa.array(v, t)}))
+    got = X._parsed(pa.array(texts), strip=True)
+    assert got.to_pylist() == [None if t is None else text_of(t, strip=True, lenient=True) for t in texts]
+    assert max(asked) <= X.SLICE < len(texts)
+    assert X._parsed(pa.array([], pa.string()), strip=False).to_pylist() == []
+
+
 def test_a_sweep_finds_topics_once_for_each_number(spark, monkeypatch):
     rng = random.Random(1)
     pools = [["python", "pandas", "numpy", "model"], ["docker", "helm", "cluster", "node"]]
