@@ -128,5 +128,10 @@ def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, dealt over the tasks by id and text: of a file with few row groups, few tasks read texts."""
+    return document_postings(spark, sf_dir).repartition("posting_id", "raw_text")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")

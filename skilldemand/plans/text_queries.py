@@ -198,7 +198,7 @@ def entities_sql(src: str, extra: str = "NULL") -> str:
 
 
 def _docs(spark, sf):
-    return A.document_postings(spark, sf)
+    return A.spread_postings(spark, sf)
 
 
 def _digest_of(column):
@@ -229,7 +229,8 @@ def b1(spark, sf):
 )
 def b1_trimmed(spark, sf):
     marked = F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))
-    rows = A.table(spark, sf, "documents").select("doc_id", X.strip_html(marked, strip=True).alias("t"))
+    docs = A.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id", "text")
+    rows = docs.select("doc_id", X.strip_html(marked, strip=True).alias("t"))
     return rows.select("doc_id", *_digest_of(F.col("t")))
 
 

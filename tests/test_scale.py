@@ -63,6 +63,27 @@ def test_pages_are_dealt_over_tasks(spark):
     assert Counter(r.url[-1] for r in got.collect()) == Counter(str(i % 7) for i in range(20))
 
 
+def test_documents_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=6000)), "en", "src1") for i in range(1500)] + [(None, None, "en", "src1"), (3, "twice", "en", "src1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plain, spread = A.document_postings(spark, str(tmp_path)), A.spread_postings(spark, str(tmp_path))
+    assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
+    tasks = spread.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 600
+
+
+def test_texts_arrive_in_files_of_few_rows(spark, monkeypatch):
+    rows = spark.range(9000).select(F.col("id").alias("posting_id"), F.lit("a text").alias("raw_text"))
+    seen = []
+    monkeypatch.setattr(Q.I, "read_arrivals", lambda spark, path, schema, files_per_batch: seen.append((path, files_per_batch)))
+    Q._arrivals(spark, rows, "arrivals", 2, Q.TEXTS_PER_FILE)
+    (path, files_per_batch), = seen
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 3 and files_per_batch == 2 and max(r["count"] for r in files) <= Q.TEXTS_PER_FILE
+
+
 def test_markup_is_parsed_in_slices(monkeypatch):
     texts = [f"<p> {i} </p>" for i in range(600)] + [None, ""]
     asked = []
