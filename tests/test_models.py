@@ -121,6 +121,21 @@ def test_term_topics_equal_numpy(spark, tmp_path):
     assert again.top_words(2).count() == 6
 
 
+def test_term_topics_leave_the_model_alone(spark, tmp_path, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    made = iter(range(100))
+    monkeypatch.setattr(TT, "CLASSES", 2)
+    monkeypatch.setattr(TT, "scratch_dir", lambda _, name: str(tmp_path / f"{name}-{next(made)}"))
+    docs = spark.createDataFrame([(i, f"red{i % 7} blue{i % 5} own{i}") for i in range(60)], "posting_id long, text string")
+    model = TT.fit_term_topics(docs, 2, max_iter=3)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["term-topics"]
+    assert {t.name for t in spark.catalog.listTables()} == before
+    # each document's own terms have a weight, too
+    assert model.centroids.where("term LIKE 'own%'").count() == 60
+    lengths = model.centroids.groupBy("topic").agg(F.sum(F.col("w") * F.col("w")).alias("l")).collect()
+    assert [r.l for r in lengths] == pytest.approx([1.0] * len(lengths))
+
+
 WEEKS = [dt.date(2026, 3, 2), dt.date(2026, 3, 9), dt.date(2026, 3, 16)]
 
 
