@@ -4,7 +4,8 @@ Terms of a text are its words, the shapes of its tokens ("Aa", "A!!", "a$$$") an
 for a word that repeats the one before. Log counts times inverse document frequency are
 projected on the leading singular vectors of the labelled texts. The labelled vectors, of
 a bounded number, go to every task; each text's cosines with all of them are exact blocked
-products, and its nearest neighbours vote with their similarity.
+products, and its nearest neighbours vote with their similarity. The space is fitted in a
+task, and the driver only holds its directions and the labelled vectors.
 """
 
 from __future__ import annotations
@@ -101,6 +102,14 @@ class LatentSpace:
         fitted = [self.vectors(counts) for counts in self._blocks(bounds, at, times)]
         self.fitted = np.concatenate([np.zeros((0, self.axes.shape[1]), np.float32), *fitted])
 
+    @classmethod
+    def of(cls, terms: np.ndarray, idf: np.ndarray, axes: np.ndarray) -> LatentSpace:
+        """A space that was fitted elsewhere, without the texts it was fitted on."""
+        space = cls.__new__(cls)
+        space.lookup, space.width = H.Lookup(terms, np.arange(len(terms))), len(terms)
+        space.idf, space.axes, space.fitted = idf, axes, None
+        return space
+
     def _blocks(self, bounds: np.ndarray, at: np.ndarray, times: np.ndarray) -> Iterator[np.ndarray]:
         for low in range(0, len(bounds) - 1, BLOCK):
             own = bounds[low : low + BLOCK + 1]
@@ -123,6 +132,36 @@ class LatentSpace:
         return np.bincount(flat, minlength=n * self.width).reshape(n, self.width) if self.width else np.zeros((n, 0))
 
 
+def fitted_space(kept: DataFrame, terms: np.ndarray, rank: int) -> tuple[LatentSpace, np.ndarray, np.ndarray]:
+    """The space of labelled texts, ``doc_id, label, i, c``; their vectors and labels by ``doc_id``.
+
+    One task fits it: the texts are a bounded sample, and the matrices of a fit would be most of
+    the driver's Python memory.
+    """
+
+    def fit(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        sizes = pc.fill_null(pc.list_value_length(table["i"]), 0).to_numpy()
+        at, times = (pc.list_flatten(table[c]).to_numpy() for c in ("i", "c"))
+        space = LatentSpace(terms, np.append(0, np.cumsum(sizes)), at, times, rank)
+        arrays = (space.idf, space.axes, space.fitted, table["label"].to_numpy().astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["idf", "axes", "fitted", "labels"])
+
+    rows = kept.repartition(1).sortWithinPartitions("doc_id").select("label", "i", "c")
+    found = rows.mapInArrow(fit, "idf binary, axes binary, fitted binary, labels binary").first()
+    if found is None:
+        empty = np.zeros(0, np.int64)
+        space = LatentSpace(terms, np.zeros(1, np.int64), empty, empty, rank)
+        return space, space.fitted, np.zeros(0)
+    axes = np.frombuffer(found["axes"], np.float32).reshape(len(terms), -1) if len(terms) else np.zeros((0, 0), np.float32)
+    marked = np.frombuffer(found["labels"], np.float64)
+    known = np.frombuffer(found["fitted"], np.float32).reshape(len(marked), axes.shape[1])
+    return LatentSpace.of(terms, np.frombuffer(found["idf"], np.float64), axes), known, marked
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows / np.where(length > 0, length, 1)
@@ -186,17 +225,12 @@ def quality_scores(
         pairs = seen.select("doc_id", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
         pairs = pairs.select("doc_id", F.col("p.terms").alias("t"), F.col("p.counts").cast("int").alias("c")).join(index, "t")
         kept = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("i", "c")).alias("p"))
-        kept = seen.select("doc_id", "label").join(kept, "doc_id", "left").orderBy("doc_id")
-        kept = kept.select("label", F.col("p.i").alias("i"), F.col("p.c").alias("c")).toArrow()
+        kept = seen.select("doc_id", "label").join(kept, "doc_id", "left")
+        kept = kept.select("doc_id", "label", F.col("p.i").alias("i"), F.col("p.c").alias("c"))
+        space, known, marked = fitted_space(kept, names, rank)
     finally:
         seen.unpersist()
-    sizes = pc.fill_null(pc.list_value_length(kept["i"]), 0).to_numpy()
-    at, times = (pc.list_flatten(kept[c]).to_numpy() for c in ("i", "c"))
-    space = LatentSpace(names, np.append(0, np.cumsum(sizes)), at, times, rank)
-    known, space.fitted = space.fitted, None
-    marked = kept["label"].to_numpy().astype(np.float64)
     prior = float(marked.mean()) if len(marked) else 0.5
-    del kept, at, times
 
     def score(batches):
         for batch in batches:

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from skilldemand.llm.lsa_vote import quality_scores
 from skilldemand.llm.nnpu import FALSE_SHARE, nn_pu_scores, risk_gradient, standing_out
 
 
@@ -86,3 +87,16 @@ def test_scores_do_not_depend_on_the_order_of_rows(spark):
         scores.append(sorted((r.doc_id or -1, round(r.score, 12), r.predicted) for r in got))
     assert scores[0] == scores[1]
     assert all(p == (i % 5 == 0) for i, _, p in scores[0] if i % 5 and i > 0)
+
+
+def test_latent_space_is_not_fitted_by_the_driver(spark, monkeypatch):
+    words = ["plain good words", "cheap cheap offer"]
+    docs = spark.createDataFrame([(i, f"{words[i % 2]} {i % 5}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+
+    def fit(*_):
+        raise AssertionError("the driver fits the space")
+
+    monkeypatch.setattr(np.linalg, "eigh", fit)  # tasks have numpy's own
+    found = {r.doc_id: r.predicted for r in quality_scores(docs, labels).collect()}
+    assert found == {i: i % 2 for i in range(40)}
