@@ -33,6 +33,8 @@ TOP = 2000
 MARK_BITS = 1 << 26  # of the table of frequent words, pairs and triples: 8 MB whatever the texts
 LOW = np.uint64(0xFFFFFFFF)
 SLICE = 2 << 20  # bytes of text counted at a time
+HELD = 1 << 18  # windows that a task counts before it gives them out
+HELD_BYTES = 64 << 20  # of their words
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values: where a text is cut into pieces
 
 
@@ -151,15 +153,51 @@ def window_lengths(often: np.ndarray, joined: np.ndarray, triple: np.ndarray, lo
     return length
 
 
+class Held:
+    """A task's windows, by hash, with their counts; each is made into texts once."""
+
+    def __init__(self):
+        self.key, self.place, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[pa.RecordBatch] = []
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Count windows of distinct hashes; says which of them are not held yet."""
+        at = np.searchsorted(self.key, key)
+        old = np.zeros(len(key), bool)
+        inside = at < len(self.key)
+        old[inside] = self.key[at[inside]] == key[inside]
+        self.n[self.place[at[old]]] += n[old]
+        return ~old
+
+    def keep(self, key: np.ndarray, n: np.ndarray, words: pa.RecordBatch) -> None:
+        key = np.concatenate([self.key, key])
+        place = np.concatenate([self.place, np.arange(len(self.n), len(key))])
+        order = np.argsort(key, kind="stable")
+        self.key, self.place, self.n = key[order], place[order], np.concatenate([self.n, n])
+        self.parts.append(words)
+
+    def full(self) -> bool:
+        return len(self.n) >= HELD or sum(part.nbytes for part in self.parts) >= HELD_BYTES
+
+    def batches(self):
+        low = 0
+        for part in self.parts:
+            n = pa.array(self.n[low : low + part.num_rows])
+            yield pa.RecordBatch.from_arrays([*part.columns, n], [*part.schema.names, "n"])
+            low += part.num_rows
+
+
 def lead_windows(docs: DataFrame, longest: int, packed: bytes) -> DataFrame:
-    """The padded longest windows, ``lang, w1 ... n``, counted within a slice of texts.
+    """The padded longest windows, ``lang, w1 ... n``, counted within a task.
 
     Every word of the texts is counted in one window; rare words lead a window of nulls.
+    A task gives out a window once, or again for each ``HELD`` windows that it has met.
     """
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def windows(batches):
         table = np.frombuffer(packed, np.uint8)
+        held = Held()
         for batch in batches:
             for langs, salt, number, data, offsets in by_language(batch):
                 code, rows, starts, goes_on = word_runs(data, offsets)
@@ -171,18 +209,24 @@ def lead_windows(docs: DataFrame, longest: int, packed: bytes) -> DataFrame:
                 third = triples(word, pair, joined)
                 length = window_lengths(marked(table, word), joined, (third != 0) & marked(table, third), longest)
                 # windows that are equal in language and words count together
-                same = H.mix(lang.astype(np.uint64) + np.uint64(1))
+                same = H.mix(salt[lang])
                 for k in range(longest):
                     has = np.flatnonzero(length > k)
                     same[has] = H.mix(same[has] * np.uint64(0x9E3779B97F4A7C15) + word[has + k])
-                _, first, n = np.unique(same, return_index=True, return_counts=True)
-                yield window_batch(langs, lang, data, starts, code, length, first, n, names)
+                key, first, n = np.unique(same, return_index=True, return_counts=True)
+                new = held.add(key, n)
+                if new.any():
+                    held.keep(key[new], n[new], window_batch(langs, lang, data, starts, code, length, first[new], names))
+                if held.full():
+                    yield from held.batches()
+                    held = Held()
+        yield from held.batches()
 
     columns = ", ".join(f"{name} string" for name in names)
     return docs.mapInArrow(windows, f"lang string, {columns}, n long")
 
 
-def window_batch(langs, lang, data, starts, code, length, first, n, names) -> pa.RecordBatch:
+def window_batch(langs, lang, data, starts, code, length, first, names) -> pa.RecordBatch:
     """One row for each of the windows that begin at the words ``first``."""
     used = np.unique(np.concatenate([first[length[first] > k] + k for k in range(len(names))]))
     _, at, which = np.unique(code[used], return_index=True, return_inverse=True)
@@ -193,7 +237,7 @@ def window_batch(langs, lang, data, starts, code, length, first, n, names) -> pa
         place = np.zeros(len(first), np.int64)
         place[has] = which[np.searchsorted(used, first[has] + k)]
         columns.append(texts.take(pa.array(place, mask=~has)))
-    return pa.RecordBatch.from_arrays([*columns, pa.array(n)], ["lang", *names, "n"])
+    return pa.RecordBatch.from_arrays(columns, ["lang", *names])
 
 
 def word_texts(data: np.ndarray, starts: np.ndarray) -> pa.Array:

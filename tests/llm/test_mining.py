@@ -11,6 +11,10 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
+from skilldemand.llm import phrases
+from skilldemand.llm.common import arrow_batches
 from skilldemand.llm.coordinate_pruning import Bucket, feasible, hard_negatives, products
 from skilldemand.llm.deletion_variants import fingerprint_links, simhash_components
 from skilldemand.llm.phrases import phrase_collocations
@@ -264,3 +268,17 @@ def test_phrase_collocations(spark, least, top):
 def test_phrases_of_empty_tables(spark):
     assert phrase_collocations(table(spark, []).where("false")).collect() == []
     assert phrase_collocations(table(spark, [(1, "one two", "en")])).collect() == []
+
+
+@pytest.mark.parametrize("held", [1 << 18, 5])
+def test_windows_leave_a_task_once(spark, monkeypatch, held):
+    rows = [(i, "one two three four, five six one two", ("en", None)[i % 2]) for i in range(400)]
+    df = table(spark, rows).select("text", F.coalesce("lang", F.lit("und")).alias("lang")).coalesce(1)
+    packed = phrases.frequent_marks(df, 1)
+    monkeypatch.setattr(phrases, "HELD", held)
+    with arrow_batches(spark, 20):
+        found = phrases.lead_windows(df, 5, packed).collect()
+    # four windows of the first piece, four of the second, for each language
+    assert {(r.lang, r.n) for r in found} == {("en", 200), ("und", 200)} if held > 5 else len(found) > 16
+    assert sum(r.n for r in found) == 400 * 8
+    assert held == 5 or len(found) == 16
