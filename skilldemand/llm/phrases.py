@@ -7,11 +7,16 @@ so ``ROLLUP`` over the columns of the window sums the counts of all shorter phra
 all words of the language, from the same rows: no n-grams of single lengths are made.
 
 Windows end early, too, where no frequent phrase can go on. A phrase found at least
-``min_count`` times holds only words, pairs and triples of neighbours found as often. Their
-hashes are counted first, over all texts (triples only of frequent pairs), and the frequent
-ones are marked in a bit table of a fixed size; where others share a hash or a bit, windows
-are longer than they need be and the counts are the same. Words are compared as texts;
-hashes only mark, and every count that is returned comes from the windows.
+``min_count`` times holds only shorter phrases found as often. The hashes of words and pairs
+are counted first, over all texts, then those of triples of frequent pairs, then those of
+longer phrases of frequent triples, and the frequent ones are marked in a bit table of a
+fixed size; where others share a hash or a bit, windows are longer than they need be and the
+counts are the same. Words are compared as texts; hashes only mark, and every count that is
+returned comes from the windows.
+
+A task gives an equal window out once. Tasks that grew in number with the texts would each
+give out nearly all frequent windows, whose number grows with the texts as well; so the texts
+are read in tasks by the cores (``TASKS_A_CORE``), and a task begins anew after ``HELD`` windows.
 """
 
 from __future__ import annotations
@@ -30,11 +35,12 @@ from skilldemand.llm.common import stage
 LONGEST = 5  # words
 MIN_COUNT = 100
 TOP = 2000
-MARK_BITS = 1 << 26  # of the table of frequent words, pairs and triples: 8 MB whatever the texts
+MARK_BITS = 1 << 26  # of the table of frequent words and phrases: 8 MB whatever the texts
 LOW = np.uint64(0xFFFFFFFF)
 SLICE = 2 << 20  # bytes of text counted at a time
 HELD = 1 << 18  # windows that a task counts before it gives them out
 HELD_BYTES = 64 << 20  # of their words
+TASKS_A_CORE = 2  # at most, that cut texts into windows
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values: where a text is cut into pieces
 
 
@@ -78,27 +84,45 @@ def marks(code: np.ndarray, goes_on: np.ndarray, salt: np.ndarray) -> tuple[np.n
     return word, pair
 
 
-def triples(word: np.ndarray, pair: np.ndarray, joined: np.ndarray) -> np.ndarray:
-    """Hashes of each word with the next two where both pairs are joined, else 0."""
-    out = np.zeros(len(word), np.uint64)
-    able = np.flatnonzero(joined[:-2] & joined[1:-1]) if len(word) > 2 else np.zeros(0, np.int64)
-    out[able] = H.mix(pair[able] * np.uint64(0x9E3779B97F4A7C15) + word[able + 2])
-    return out
+def phrase_marks(
+    table: np.ndarray, word: np.ndarray, pair: np.ndarray, joined: np.ndarray, known: int, longest: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 3 to ``longest`` words: hashes of the phrase that each word leads, and whether it may be frequent.
+
+    A hash is 0 where one of the phrase's two parts shorter by a word can't be frequent; phrases
+    of up to ``known`` words must be marked, too.
+    """
+    found, key, able = [], pair, joined
+    for k in range(3, longest + 1):
+        longer = np.zeros(len(word), np.uint64)
+        both = np.flatnonzero(able[: 1 - k] & able[1 : len(able) + 2 - k]) if len(word) >= k else np.zeros(0, np.int64)
+        longer[both] = H.mix(key[both] * np.uint64(0x9E3779B97F4A7C15) + word[both + k - 1])
+        key, able = longer, longer != 0
+        if k <= known:
+            able &= marked(table, key)
+        found.append((key, able))
+    return found
 
 
-def frequent_marks(docs: DataFrame, min_count: int) -> bytes:
-    """The bit table of words, pairs and triples that occur ``min_count`` times in a language."""
+def frequent_marks(docs: DataFrame, min_count: int, longest: int = LONGEST) -> bytes:
+    """The bit table of words and phrases that occur ``min_count`` times in a language."""
 
     def single(word, pair, goes_on, table):
         return np.concatenate([word, pair[goes_on]])
 
-    def triple(word, pair, goes_on, table):
-        key = triples(word, pair, joined_pairs(table, word, pair, goes_on))
-        return key[key != 0]
+    def longer(known, most):
+        def keys_of(word, pair, goes_on, table):
+            found = phrase_marks(table, word, pair, joined_pairs(table, word, pair, goes_on), known, most)
+            return np.concatenate([key[key != 0] for key, _ in found[known - 2 :]])
+
+        return keys_of
 
-    first = counted_marks(docs, min_count, single, b"")
-    second = counted_marks(docs, min_count, triple, first)
-    return (np.frombuffer(first, np.uint8) | np.frombuffer(second, np.uint8)).tobytes()
+    packed = counted_marks(docs, min_count, single, b"")
+    for known, most in ((2, min(3, longest)), (3, longest)):
+        if most > known:
+            more = counted_marks(docs, min_count, longer(known, most), packed)
+            packed = (np.frombuffer(packed, np.uint8) | np.frombuffer(more, np.uint8)).tobytes()
+    return packed
 
 
 def counted_marks(docs: DataFrame, min_count: int, keys_of, packed: bytes) -> bytes:
@@ -139,17 +163,16 @@ def joined_pairs(table: np.ndarray, word: np.ndarray, pair: np.ndarray, goes_on:
     return joined
 
 
-def window_lengths(often: np.ndarray, joined: np.ndarray, triple: np.ndarray, longest: int) -> np.ndarray:
-    """Words in the window that each word leads: 0 for a rare word, else as far as pairs and triples go."""
-    length = often.astype(np.int64)
-    run = often.copy()
-    for k in range(1, longest):
-        able = max(len(run) - k, 0)
-        run[:able] &= joined[k - 1 : k - 1 + able]
-        if k > 1:
-            run[:able] &= triple[k - 2 : k - 2 + able]
-        run[able:] = False
-        length += run
+def window_lengths(
+    table: np.ndarray, word: np.ndarray, pair: np.ndarray, goes_on: np.ndarray, longest: int
+) -> np.ndarray:
+    """Words in the window that each word leads: 0 for a rare word, else those of its longest marked phrase."""
+    joined = joined_pairs(table, word, pair, goes_on)
+    length = marked(table, word).astype(np.int64)
+    if longest > 1:
+        length += joined
+    for _, able in phrase_marks(table, word, pair, joined, longest, longest):
+        length += able
     return length
 
 
@@ -205,9 +228,7 @@ def lead_windows(docs: DataFrame, longest: int, packed: bytes) -> DataFrame:
                     continue
                 lang = number[rows]
                 word, pair = marks(code, goes_on, salt[lang])
-                joined = joined_pairs(table, word, pair, goes_on)
-                third = triples(word, pair, joined)
-                length = window_lengths(marked(table, word), joined, (third != 0) & marked(table, third), longest)
+                length = window_lengths(table, word, pair, goes_on, longest)
                 # windows that are equal in language and words count together
                 same = H.mix(salt[lang])
                 for k in range(longest):
@@ -252,7 +273,9 @@ def word_texts(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 def phrase_counts(docs: DataFrame, longest: int, min_count: int) -> DataFrame:
     """Phrases found ``min_count`` times, ``lang, words, f``; no words: all words of a language."""
     names = [f"w{k}" for k in range(1, longest + 1)]
-    windows = lead_windows(docs, longest, frequent_marks(docs, min_count))
+    packed = frequent_marks(docs, min_count, longest)
+    tasks = TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    windows = lead_windows(docs.coalesce(tasks), longest, packed)
     level = F.grouping_id("lang", *names).alias("level")
     summed = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), level)
     # the level has a bit for each column that is summed over; the last one kept must hold a word

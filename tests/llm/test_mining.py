@@ -282,3 +282,35 @@ def test_windows_leave_a_task_once(spark, monkeypatch, held):
     assert {(r.lang, r.n) for r in found} == {("en", 200), ("und", 200)} if held > 5 else len(found) > 16
     assert sum(r.n for r in found) == 400 * 8
     assert held == 5 or len(found) == 16
+
+
+def test_windows_follow_the_cores_not_the_parts_of_the_table(spark, monkeypatch):
+    rows = [(i, "one two three four, five six one two", "en") for i in range(512)]
+    df = table(spark, rows).select("text", "lang").repartition(64)
+    made, lead_windows = [], phrases.lead_windows
+    monkeypatch.setattr(phrases, "lead_windows", lambda *given: made.append(lead_windows(*given)) or made[0])
+    assert phrases.phrase_counts(df, 5, 100).where("size(words) = 4").count() == 2
+    found = made[0].collect()
+    # eight windows of the text, once for each of two tasks a core
+    assert len(found) <= 8 * 2 * spark.sparkContext.defaultParallelism < 8 * 64
+    assert sum(r.n for r in found) == 512 * 8
+
+
+def test_windows_end_with_the_longest_frequent_phrase(spark):
+    # every triple is frequent, the phrases of four words and of five are not
+    rows = [(i, "a b c. b c d. c d e.", "en") for i in range(40)] + [(99, "a b c d e.", "en")]
+    df = table(spark, rows).select("text", "lang")
+    found = phrases.lead_windows(df, 5, phrases.frequent_marks(df, 40)).collect()
+    windows = {tuple(w for w in (r.w1, r.w2, r.w3, r.w4, r.w5) if w is not None) for r in found}
+    assert {"".join(w) for w in windows} == {"abc", "bcd", "cde", "bc", "cd", "de", "c", "d", "e"}
+    assert sum(r.n for r in found) == 40 * 9 + 5
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4])
+def test_shorter_phrases(spark, longest):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["in", "spite", "of", "all,", "that"]) for _ in range(40)), "en") for i in range(60)]
+    found = phrase_collocations(table(spark, rows), longest=longest, min_count=9, top=500)
+    want = brute_phrases(rows, 9, 500, longest)
+    found = found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert want and sorted(tuple(r) for r in found.collect()) == want
