@@ -237,7 +237,7 @@ def lead_windows(docs: DataFrame, longest: int, packed: bytes) -> DataFrame:
                 key, first, n = np.unique(same, return_index=True, return_counts=True)
                 new = held.add(key, n)
                 if new.any():
-                    held.keep(key[new], n[new], window_batch(langs, lang, data, starts, code, length, first[new], names))
+                    held.keep(key[new], n[new], window_batch(langs, lang, data, offsets, starts, code, length, first[new], names))
                 if held.full():
                     yield from held.batches()
                     held = Held()
@@ -247,11 +247,11 @@ def lead_windows(docs: DataFrame, longest: int, packed: bytes) -> DataFrame:
     return docs.mapInArrow(windows, f"lang string, {columns}, n long")
 
 
-def window_batch(langs, lang, data, starts, code, length, first, names) -> pa.RecordBatch:
+def window_batch(langs, lang, data, offsets, starts, code, length, first, names) -> pa.RecordBatch:
     """One row for each of the windows that begin at the words ``first``."""
     used = np.unique(np.concatenate([first[length[first] > k] + k for k in range(len(names))]))
     _, at, which = np.unique(code[used], return_index=True, return_inverse=True)
-    texts = word_texts(data, starts[used[at]])
+    texts = word_texts(data, offsets, starts[used[at]])
     columns = [pa.array(langs, pa.string()).take(pa.array(lang[first]))]
     for k in range(len(names)):
         has = length[first] > k
@@ -261,12 +261,13 @@ def window_batch(langs, lang, data, starts, code, length, first, names) -> pa.Re
     return pa.RecordBatch.from_arrays(columns, ["lang", *names])
 
 
-def word_texts(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """The words that begin at some bytes, A-Z in lower case."""
+def word_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The words that begin at some bytes, A-Z in lower case; a word ends with its row, too."""
     mapped = PIECES[data]
     spaces = np.flatnonzero(mapped == 32)
     at = np.searchsorted(spaces, starts)
     ends = np.append(spaces, len(data))[at]
+    ends = np.minimum(ends, offsets[np.searchsorted(offsets, starts, side="right")])
     return pa.array([mapped[a:b].tobytes().decode() for a, b in zip(starts, ends)], pa.string())
 
 

@@ -296,9 +296,16 @@ def test_windows_follow_the_cores_not_the_parts_of_the_table(spark, monkeypatch)
     assert sum(r.n for r in found) == 512 * 8
 
 
+def test_words_end_with_their_text(spark):
+    rows = [(1, "of course", "en"), (2, "course of course", "en"), (3, "of", "en")] * 5
+    found = phrase_collocations(table(spark, rows).coalesce(1), min_count=5)
+    found = found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert sorted(tuple(r) for r in found.collect()) == brute_phrases(rows, 5, 100)
+
+
 def test_windows_end_with_the_longest_frequent_phrase(spark):
     # every triple is frequent, the phrases of four words and of five are not
-    rows = [(i, "a b c. b c d. c d e.", "en") for i in range(40)] + [(99, "a b c d e.", "en")]
+    rows = [(i, "a b c. b c d. c d e", "en") for i in range(40)] + [(99, "a b c d e", "en")]
     df = table(spark, rows).select("text", "lang")
     found = phrases.lead_windows(df, 5, phrases.frequent_marks(df, 40)).collect()
     windows = {tuple(w for w in (r.w1, r.w2, r.w3, r.w4, r.w5) if w is not None) for r in found}
