@@ -28,7 +28,7 @@ BLOCK = 1 << 15  # anchors that meet all rows at once
 FIRST = 1 << 13  # rows of the first bucket, which only sets scores to reach
 BUCKET = 4096
 FOCUS = 3  # coordinates whose ranges are intersected
-ANCHORS_AT_ONCE = 128
+ANCHORS_AT_ONCE = 128  # whose scores with a bucket are held at once; of them only the best rows stay
 EXACT = float(1 << 53)
 POSITIVES = 5
 NEGATIVES = 10
@@ -121,21 +121,39 @@ class Search:
                 continue
             scores = products(self.vectors[some], bucket.vectors[rows])
             a, r = np.nonzero(ok[:, rows] & (scores >= self.low[some].min(axis=1)[:, None]))
-            score, a = scores[a, r], a + start
-            ids = bucket.ids[rows[r]]
+            score = scores[a, r]
             for band in range(self.low.shape[1]):
-                fits = np.flatnonzero((score >= self.low[a, band]) & (score <= self.high[a, band]))
-                found.append(np.stack([a[fits], np.full(len(fits), band), score[fits], ids[fits]], axis=1))
+                fits = np.flatnonzero((score >= self.low[a + start, band]) & (score <= self.high[a + start, band]))
+                fits = fits[self._foremost(a[fits], score[fits], *scores.shape)]
+                found.append(self._first(np.stack([a[fits] + start, np.full(len(fits), band), score[fits], bucket.ids[rows[r[fits]]]], axis=1)))
         self._keep(np.concatenate([self.best, *found]))
 
+    def _foremost(self, a: np.ndarray, score: np.ndarray, n: int, width: int) -> np.ndarray:
+        """Which of many matches may be among the best ``k`` of their anchor; ties with the last of them stay."""
+        if len(a) <= 8 * self.k * n or width <= self.k:
+            return np.ones(len(a), bool)
+        place = np.arange(len(a)) - np.searchsorted(a, a)  # matches come in order of their anchors
+        dense = np.full((n, place.max() + 1), LEAST)
+        dense[a, place] = score
+        if dense.shape[1] <= self.k:
+            return np.ones(len(a), bool)
+        return score >= np.partition(dense, -self.k, axis=1)[a, -self.k]
+
+    def _first(self, rows: np.ndarray) -> np.ndarray:
+        """The best ``k`` rows of each anchor and band, in order."""
+        if not len(rows):
+            return rows
+        rows = rows[np.lexsort((rows[:, 3], -rows[:, 2], rows[:, 1], rows[:, 0]))]
+        group = rows[:, 0] * self.low.shape[1] + rows[:, 1]
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        return rows[np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < self.k]
+
     def _keep(self, rows: np.ndarray) -> None:
-        order = np.lexsort((rows[:, 3], -rows[:, 2], rows[:, 1], rows[:, 0]))
-        rows = rows[order]
+        self.best = rows = self._first(rows)
+        # a band with k rows need not look below the last of them
         group = rows[:, 0] * self.low.shape[1] + rows[:, 1]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(rows) else []
-        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) if len(rows) else rows[:, 0]
-        self.best = rows[place < self.k]
-        last = rows[place == self.k - 1]  # a band with k rows need not look below the last of them
+        full = np.flatnonzero(group[self.k - 1 :] == group[: max(0, len(group) - self.k + 1)]) + self.k - 1
+        last = rows[full]
         self.low[last[:, 0], last[:, 1]] = np.maximum(self.low[last[:, 0], last[:, 1]], last[:, 2])
 
 
@@ -226,7 +244,9 @@ def hard_negatives(
         for i in range(n_blocks):
             taken = chosen.where(F.col("block") == i).select("id", "label", "q").toArrow().combine_chunks()
             if taken.num_rows:
-                parts.append(block_negatives(data, first, taken, width, positives, negatives, least, most))
+                part = block_negatives(data, first, taken, width, positives, negatives, least, most)
+                # a plan holds its block's anchors, so of many blocks only the results stay
+                parts.append(stage(part, "negatives") if n_blocks > 1 else part)
     if not parts:
         kinds = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
         return vectors.sparkSession.createDataFrame([], kinds)

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skilldemand.llm import phrases
 from skilldemand.llm.common import arrow_batches
-from skilldemand.llm.coordinate_pruning import Bucket, feasible, hard_negatives, products
+from skilldemand.llm.coordinate_pruning import LEAST, MOST, Bucket, Search, feasible, hard_negatives, products
 from skilldemand.llm.deletion_variants import fingerprint_links, simhash_components
 from skilldemand.llm.phrases import phrase_collocations
 from skilldemand.llm.simhash import fingerprints
@@ -209,6 +210,24 @@ def test_feasible_ranges_lose_no_row_and_prune():
     assert low[-1, 0] == pytest.approx(bucket.longest * 0.9, abs=1e-3) and high[-1, 0] >= bucket.longest
 
 
+def test_matches_of_many_anchors_are_not_held_at_once():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-60, 60, (2048, 4))
+    ids, labels = np.arange(2048), np.zeros(2048, np.int64)
+    search = Search(ids, labels, rows, np.full((2048, 1), LEAST), np.full((2048, 1), MOST), True, 5)
+    bucket = Bucket(ids, labels, rows)
+    tracemalloc.start()
+    search.add(bucket)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # all 4 million matches take 130 MB, and as much again where they are sorted
+    scores = rows @ rows.T
+    for i in (0, 77, 2047):
+        want = sorted((-int(scores[i, j]), j) for j in range(2048) if j != i)[:5]
+        assert [(-s, j) for a, _, s, j in search.best.tolist() if a == i] == want
+        assert search.low[i, 0] == -want[-1][0]
+
+
 def test_products_beyond_doubles():
     big = np.array([[1 << 28, 3], [(1 << 28) + 1, -7]])
     assert products(big, big).tolist() == [[sum(int(x) * int(y) for x, y in zip(a, b)) for b in big] for a in big]
