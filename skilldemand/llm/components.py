@@ -16,6 +16,8 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     its smaller ones are. Both keep components as they are, and no vertex ever collects
     its neighbours: they stay rows. Each round is written to the shared folder; it ends
     when a round changes nothing. Null ends and loops are ignored; no links, no rows.
+    The joins are merge joins by hint: files of ids are a fraction of the ids in memory,
+    and a broadcast of them goes through the driver.
     """
     edges = stage(
         links.where("a is not null and b is not null and a <> b")
@@ -27,10 +29,10 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             least.select("u", F.col("m").alias("v"))
         )

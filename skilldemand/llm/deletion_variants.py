@@ -12,6 +12,9 @@ out, and each bit must be a wildcard whose bucket is still open for both (or, wh
 half is equal, two bits of the other half). All members of such a second variant are linked
 with one another, so one link to its smallest member is enough. That is at most 2016 rows for
 a fingerprint, whatever the size of its buckets.
+
+Spark sizes a table by that of the file it comes from, also behind an explode into 64 or 2016
+rows, and keeps to a broadcast that it has planned so. The joins are merge joins by hint.
 """
 
 from __future__ import annotations
@@ -75,7 +78,7 @@ def apart(one: Column, two: Column) -> Column:
 
 def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Add ``comp``, the component of ``id``; an id without links is its own."""
-    joined = rows.join(comps, "id", "left")
+    joined = rows.join(comps.hint("merge"), "id", "left")
     return joined.withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
@@ -88,7 +91,7 @@ def fingerprint_links(nodes: DataFrame, known: DataFrame) -> DataFrame:
     every = variants(nodes)
     shared = every.groupBy("key").agg(F.min(F.struct("fp", "id")).alias("hub"), F.max("fp").alias("last"))
     shared = shared.where("hub.fp <> last").select("key", F.col("hub.fp").alias("hub_fp"), F.col("hub.id").alias("hub"))
-    met = stage(every.join(shared, "key"), "variants-met")
+    met = stage(every.join(shared.hint("merge"), "key"), "variants-met")
     near = met.where((F.col("fp") != F.col("hub_fp")) & (apart(F.col("fp"), F.col("hub_fp")) <= DISTANCE))
     links = near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().unionByName(known)
     links = stage(links, "variants-links")
@@ -96,13 +99,14 @@ def fingerprint_links(nodes: DataFrame, known: DataFrame) -> DataFrame:
 
     labelled = with_components(met.select("key", "at", "fp", "id"), comps)
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_ = labelled.join(mixed.select("key"), "key", "left_semi").groupBy("fp", "id", "comp")
+    open_ = labelled.join(mixed.select("key").hint("merge"), "key", "left_semi").groupBy("fp", "id", "comp")
     open_ = stage(open_.agg(F.expr(f"bit_or({bit('at')})").alias("mask")), "variants-open")
     wiped = pair_variants(open_)
     meet = wiped.groupBy("at", "wiped").agg(
         F.min("id").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    more = wiped.join(meet.where("lo <> hi").select("at", "wiped", "hub"), ["at", "wiped"]).where("id <> hub")
+    meet = meet.where("lo <> hi").select("at", "wiped", "hub").hint("merge")
+    more = wiped.join(meet, ["at", "wiped"]).where("id <> hub")
     return links.unionByName(more.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
 
 
@@ -123,13 +127,13 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, seed: int = SEED) ->
     nodes = stage(nodes.repartition(max(1, -(-known.count() // PER_TASK)), "fp"), "variants-nodes")
     # an id with several fingerprints joins them
     several = known.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    owned = known.join(several.select("doc_id"), "doc_id", "left_semi").join(nodes, "fp")
+    owned = known.join(several.select("doc_id").hint("merge"), "doc_id", "left_semi").join(nodes.hint("merge"), "fp")
     same = owned.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stage(fingerprint_links(nodes, same), "variants-links")
     named = with_components(nodes, connected_components(links))
     # an id that repeats may stand for no fingerprint, but its links are its fingerprints' ones
     named = named.select("fp", F.col("comp").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    found = known.join(named, "fp").select("doc_id", digits, "component_id")
+    found = known.join(named.hint("merge"), "fp").select("doc_id", digits, "component_id")
     none = rows.where("doc_id is null").select("doc_id", digits, F.lit(None).cast("long").alias("component_id"))
     return found.unionByName(none)

@@ -14,8 +14,8 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from skilldemand.llm import phrases
-from skilldemand.llm.common import arrow_batches
+from skilldemand.llm import components, deletion_variants, phrases
+from skilldemand.llm.common import arrow_batches, stage
 from skilldemand.llm.coordinate_pruning import LEAST, MOST, Bucket, Search, feasible, hard_negatives, products
 from skilldemand.llm.deletion_variants import fingerprint_links, simhash_components
 from skilldemand.llm.phrases import phrase_collocations
@@ -135,6 +135,24 @@ def test_links_within_hot_buckets(spark, flips):
     assert smallest_reachable(range(len(codes)), lambda x, y: (x, y) in pairs) == want
 
 
+def test_variants_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    for module in (deletion_variants, components):
+        monkeypatch.setattr(module, "stage", seen)
+    texts = [" ".join(f"w{i * j % 37}" for j in range(12)) for i in range(40)]
+    rows = table(spark, [(i % 30, t, "en") for i, t in enumerate(texts)])
+    found = simhash_components(rows)
+    assert found.count() == 40
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def brute_negatives(rows, scale=256, positives=5, negatives=10):
     taking = [
         (i, lab, [math.floor(scale * float(x)) for x in v])
