@@ -13,6 +13,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skilldemand.session import shuffles_removed
+
 # Most rows of a table that may become a literal.
 MAX_INLINE_ROWS = 20_000
 
@@ -40,8 +42,9 @@ def may_hold(table: DataFrame, key: str):
         F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {MARK_BITS}) & 63L AS int))").alias("bit")
     )
     bits = [0] * (MARK_BITS >> 6)
-    for row in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[row["at"]] = row["bits"]
+    with shuffles_removed(table.sparkSession):
+        for row in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+            bits[row["at"]] = row["bits"]
     held = literal(bits, "array<bigint>")
 
     def test(word: Column) -> Column:
@@ -52,20 +55,25 @@ def may_hold(table: DataFrame, key: str):
     return test
 
 
-def join_rows(df: DataFrame, table: DataFrame, key: str, keys: Column, content: Column, out: str) -> DataFrame:
+def join_rows(
+    df: DataFrame, table: DataFrame, key: str, keys: Column, content: Column, out: str, columns: list[str] | None = None
+) -> DataFrame:
     """Add all rows of ``table`` whose ``key`` is among ``keys``, an array of distinct strings.
 
+    Of the rows, ``columns`` are gathered, all where none are named.
+
     ``content`` is a string that decides ``keys``. Rows are gathered by a hash of it, not
     by an id, so repeated and null ids do no harm; null where nothing is found. Only words
-    that the table may hold are shuffled.
+    that the table may hold are shuffled, beside 16 bytes of hash. A null content has an empty
+    hash: a filter of nulls would keep a shuffle of the texts below from being used for both sides.
     """
     keys = F.filter(keys, may_hold(table, key))
-    keyed = df.withColumn("_content", F.sha2(content.cast("binary"), 256))
+    keyed = df.withColumn("_content", F.coalesce(F.unhex(F.substring(F.sha2(content.cast("binary"), 256), 1, 32)), F.lit(b"")))
     hits = (
         keyed.select("_content", F.explode(keys).alias(key))
         .join(distinct_rows(table, key), key)
         .groupBy("_content")
-        .agg(F.collect_set(F.struct(*table.columns)).alias(out))
+        .agg(F.collect_set(F.struct(*(columns or table.columns))).alias(out))
     )
     return keyed.join(hits, "_content", "left").drop("_content")
 

@@ -73,13 +73,14 @@ def match_terms(
     if inline:
         found = docs.withColumn("_candidates", InlineTable(table, "anchor").find(words))
     else:
-        found = join_rows(docs, table, "anchor", words, F.col(text_col), "_candidates")
+        # the pattern is longer than its term, so it is made again where it is used
+        found = join_rows(docs, table.drop("pattern"), "anchor", words, F.col(text_col), "_candidates", attributes)
     counted = F.filter(
         F.transform(
             F.col("_candidates"),
             lambda c: F.struct(
                 *[c[name].alias(name) for name in attributes],
-                F.regexp_count(F.col(text_col), c["pattern"]).cast("bigint").alias("n"),
+                F.regexp_count(F.col(text_col), c["pattern"] if inline else bounded_pattern(c["term"], ignore_case)).cast("bigint").alias("n"),
             ),
         ),
         lambda m: m["n"] > 0,

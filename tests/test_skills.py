@@ -174,3 +174,23 @@ def test_tables_that_cannot_be_inlined_are_refused(spark):
     with pytest.raises(ValueError):
         K.match_vocab(df, wide)
     assert as_dict(K.match_vocab(df, wide, inline=False)) == {(0, "w3"): 1, (0, "w20000"): 1}
+
+
+def test_joined_lookups_shuffle_texts_once_and_terms_alone(spark, tmp_path):
+    texts = [(i, f"python and sql {i}" if i % 5 else None) for i in range(200)]
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(texts, "posting_id long, raw_text string").write.parquet(path)
+    docs = spark.read.parquet(path).repartition("posting_id", "raw_text")
+    known = spark.createDataFrame([("sql", "technical", 0), ("Python", "technical", 1)], "skill string, kind string, ord bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = K.match_vocab(docs, known, inline=False)
+        assert found.count() == 320
+        assert {tuple(r)[1:] for r in found.collect()} == {("sql", 1), ("Python", 1)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in plan
+    gathered = [line for line in plan.splitlines() if "collect_set" in line]
+    assert gathered and not any("pattern" in line for line in gathered)
