@@ -66,6 +66,22 @@ def test_density_topics_equal_brute_force(spark, eps, min_points, axes):
     assert {t for _, t, _, _ in want} > {-1, 0}
 
 
+def test_density_topics_are_the_same_in_many_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3) + 3 * (i % 3)]) for i in range(150)]
+    compared = []
+    compare = D.compare_tiles
+    monkeypatch.setattr(D, "compare_tiles", lambda placed, units, *a: compared.append(units.count()) or compare(placed, units, *a))
+    monkeypatch.setattr(D, "LEAST_ROWS", 400)
+    monkeypatch.setattr(D, "FOLD", 2)
+    df = spark.createDataFrame(rows, "posting_id long, embedding array<float>")
+    got = D.density_topics(df, 0.9, 4, tile=20).collect()
+    assert Counter((r.posting_id, r.topic_id, r.is_core, r.neighbours) for r in got) == Counter(brute_density(rows, 0.9, 4))
+    assert len(compared) >= 6  # three rounds or more, for counts and for links
+    half = len(compared) // 2
+    assert sum(compared[:half]) == sum(compared[half:]) > max(compared)
+
+
 def test_density_topics_of_nothing(spark):
     none = spark.createDataFrame([], "posting_id long, embedding array<float>")
     assert D.density_topics(none, 1.0).collect() == []
